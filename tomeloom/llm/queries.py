@@ -5,32 +5,68 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tomeloom.llm import exact_dedup, mixing, simhash
+from tomeloom.llm import exact_dedup, gif, langid, mixing, packing, pii, simhash, spans, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer files are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
+def op4_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_read(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_read(spark, sf_dir, "pages")).drop("intact")
+
+
+def op7_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media_digests(_read(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.without_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("epochs", "cut")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_simhash_bktree": op2_simhash_bktree,
-    "op5_exact_dedup": op5_exact_dedup,
-    "op10_mix_sources": op10_mix_sources,
-}
+    f.__name__: f
+    for f in (
+        op1_hierarchical_packing, op2_simhash_bktree, op3_language_id, op4_pii_skip_chain, op5_exact_dedup,
+        op6_warc_chunks, op7_gif_columns, op8_url_filter, op9_sentence_spans, op10_mix_sources,
+    )
+}
 
 _SQL_EXACT = r"""
 WITH t AS (
@@ -74,4 +110,31 @@ SELECT doc_id, size, source_size, target,
 FROM run
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": _SQL_EXACT, "op10_mix_sources": _SQL_MIX}
+_SQL_WARC = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY d)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN g.last > p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.last > p.page_id THEN g.last END AS refers_to
+FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 1000
+"""
+
+_SQL_URL = r"""
+WITH a AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+b AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS host0, regexp_extract(rest, '^[^?#]*') AS hp FROM a),
+c AS (SELECT page_id, coalesce(translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(substr(hp, length(host0) + 1), '') AS path FROM b),
+rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit AS (SELECT c.page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+        FROM c JOIN rules ON (c.host = rhost OR ends_with(c.host, '.' || rhost)) AND starts_with(c.path, rpath) GROUP BY c.page_id)
+SELECT c.page_id, c.host, c.path, fit.rule, coalesce(fit.verdict, CASE WHEN c.host = '' THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN fit ON c.page_id = fit.page_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": _SQL_EXACT,
+    "op6_warc_chunks": _SQL_WARC,
+    "op8_url_filter": _SQL_URL,
+    "op10_mix_sources": _SQL_MIX,
+}
