@@ -54,7 +54,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable, for each node that has a link.
+    """(node, component): the smallest node reachable, for each node where that is another.
 
     edges (u, v) may hold repeats, either direction and self-links; no edges, no rows.
     """

@@ -70,9 +70,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """docs with one row of each group of equal texts, all its columns unchanged."""
     kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
     kept = written(kept, "kept")
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]) & (sha == kept["_sha"]), "left_semi")
+    rows = docs.select(F.struct("*").alias("doc"), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
+    rows = rows.join(kept, F.col(f"doc.{id_col}").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left_semi")
     repeated = docs.groupBy(id_col).count().filter("count > 1").limit(1).count()
     if repeated:  # the same row given twice: both match the kept one
-        out = out.withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
-    return out
+        rows = rows.withColumn("id", F.col(f"doc.{id_col}")).dropDuplicates(["id", "sha"])
+    return rows.select("doc.*")

@@ -96,6 +96,8 @@ class Model:
         self.mean = np.zeros(len(self.langs))
         self.spread = np.ones(len(self.langs))
         self.sharpness = 16.0
+        if not self.langs:
+            return
         types = {lang: [None] * (ORDER + 1) for lang in self.langs}
         for lang, (keys, n) in counts.items():
             order = np.argsort(keys)

@@ -97,16 +97,23 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0,
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs as the mix takes them: a row for each complete copy, and the first words of a cut one."""
+    """docs as the mix takes them: a row for each complete copy, and the first words of a cut one.
+
+    Columns stay; n_chars, where there is one, follows the text.  Rows that repeat an id are
+    taken for equal.
+    """
+    part = F.when(F.col("cut") > 0, F.array("cut")).otherwise(F.array().cast("array<bigint>"))
     plan = mix(docs, weights, cap, id_col, text_col, source_col).filter("taken > 0")
-    plan = plan.groupBy(F.col(id_col).alias("_id")).agg(F.max("epochs").alias("_epochs"), F.max("cut").alias("_cut"), F.max("size").alias("_size"))
-    rows = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"]), "inner")
-    part = F.when(F.col("_cut") > 0, F.array("_cut")).otherwise(F.array().cast("array<bigint>"))
-    copies = F.concat(F.array_repeat(F.col("_size"), F.col("_epochs").cast("int")), part)
-    rows = rows.withColumn("_words", F.explode(copies))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("_words").cast("int")), "")
-    cut = F.when(F.col("_words") < F.col("_size"), first).otherwise(F.col(text_col))
-    rows = rows.withColumn(text_col, cut)
+    plan = plan.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.concat(F.array_repeat("size", F.col("epochs").cast("int")), part).alias("_copies"))
+    plan = plan.groupBy("_id", "_size").agg(F.flatten(F.collect_list("_copies")).alias("_copies"))
+    # rows that repeat an id have all their copies made of one of them
+    repeated = docs.groupBy(id_col).count().filter("count > 1").limit(1).count()
+    rows = (docs.dropDuplicates([id_col]) if repeated else docs).select(F.struct("*").alias("doc"))
+    rows = rows.join(plan, F.col(f"doc.{id_col}").eqNullSafe(F.col("_id")), "inner").withColumn("words", F.explode("_copies"))
+    text = F.col(f"doc.{text_col}")
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("words").cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col("words") < F.col("_size"), first).otherwise(text))
+    put = {text_col: F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        put["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[put.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -156,19 +156,21 @@ def _similar(found: list[Node]) -> list[tuple[int, int]]:
 class Field:
     """Weights of the field; marginals by loopy sum-product."""
 
-    def __init__(self, node: np.ndarray, transition: np.ndarray, skip: float = 5.0, near: int = 60):
-        self.node, self.transition, self.skip, self.near = node, transition, skip, near
+    def __init__(self, node: np.ndarray, transition: np.ndarray, skip: float = 8.0, doubt: float = 4.0, near: int = 60):
+        self.node, self.transition, self.skip, self.doubt, self.near = node, transition, skip, doubt, near
 
     def marginals(self, found: list[Node], rounds: int = 12) -> np.ndarray:
         n, k = len(found), OTHER + 1
+        # what a stretch looks like is never certain: bounded, unlike what a pattern decided
         unary = np.stack([x.features for x in found]) @ self.node.T
+        unary = np.maximum(unary - unary.max(axis=1, keepdims=True), -self.doubt)
         for i, x in enumerate(found):
             if x.kind is not None:
                 unary[i] = -50.0
                 unary[i, x.kind] = 0.0
         edges = [(i, i + 1, self.transition) for i in range(n - 1) if found[i + 1].start - found[i].end <= self.near]
-        # a skip edge rewards two nodes that are of the same kind, not two that are of none
-        agree = np.diag([self.skip] * OTHER + [0.0])
+        # a skip edge rewards equal labels, "none" too: repeating a number makes it nobody's
+        agree = self.skip * np.eye(k)
         edges += [(i, j, agree) for i, j in _similar(found)]
         if not edges:
             return _softmax(unary)

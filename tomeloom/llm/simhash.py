@@ -206,6 +206,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest id of each component, all columns unchanged."""
+    """docs with the smallest id of each component, all columns unchanged.
+
+    Rows without an id stand for nothing that could be kept, and go.
+    """
     kept = near_groups(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_id"], "left_semi")
+    return docs.select(F.struct("*").alias("doc")).join(kept, F.col(f"doc.{id_col}") == F.col("_id"), "left_semi").select("doc.*")
