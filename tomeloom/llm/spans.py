@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -68,24 +69,82 @@ def runs(units: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int, by
         words -= sizes[i]
 
 
-_RUNS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+#: Runs that a task combines at a time.
+BLOCK = 400_000
+_RUNS = pa.schema([(n, pa.int64()) for n in ("a", "b", "again", "id", "at", "n", "first_id")])
+_RUNS_DDL = ", ".join(f"{n} long" for n in _RUNS.names)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Places where sorted rows begin a new group."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _combined(a: list[int], b: list[int], ids: list[int], places: list[int], sizes: list[int]) -> pa.RecordBatch:
+    """A block's runs, sorted by hash, document, place; all but a hash's first are repeats already."""
+    rows = [np.array(x, np.int64) for x in (a, b, ids, places, sizes)]
+    order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
+    a, b, ids, places, sizes = (x[order] for x in rows)
+    new = _starts(a, b)
+    first = ids[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, (~new).astype(np.int64), ids, places, sizes, first)], schema=_RUNS)
 
 
 def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sink = Sink(_RUNS)
+    """Runs with ``again`` set where the same block has an earlier one.
+
+    A passage that a third of all documents share thus leaves a block as one row that has to
+    meet other blocks' rows, however many documents it stands in.
+    """
+    held: tuple[list[int], ...] = ([], [], [], [], [])
     for ident, text in rows_of(batches, 64):
         for at, n, h in runs(sentences(text or "")):
-            yield from sink.add((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), ident, at, n))
-    yield from sink.end()
+            for column, value in zip(held, (int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), ident, at, n), strict=True):
+                column.append(value)
+        if len(held[0]) >= BLOCK:
+            yield _combined(*held)
+            held = ([], [], [], [], [])
+    if held[0]:
+        yield _combined(*held)
+
+
+_REPEATS = pa.schema([(n, pa.int64()) for n in ("id", "at", "n", "first_id")])
+
+
+def _not_first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From runs sorted by hash, again, document, place: those that stand earlier elsewhere."""
+    last: tuple[int, int, int, int] | None = None  # hash, first id and place of the open group
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b, again, ids, places, sizes, first = (c.to_numpy() for c in batch.columns)
+        new = _starts(a, b)
+        if last is not None and (a[0], b[0]) == last[:2]:
+            new[0] = False
+        begins = np.flatnonzero(new)
+        group = np.cumsum(new) - 1  # -1: the group left open by the batch before
+        lead_ids = np.concatenate([ids[begins], [last[2] if last else 0]])
+        lead_at = np.concatenate([places[begins], [last[3] if last else 0]])
+        lead = np.where(again == 1, first, lead_ids[group])
+        out = (again == 1) | (ids != lead_ids[group]) | (places != lead_at[group])
+        last = (a[-1], b[-1], lead_ids[group[-1]], lead_at[group[-1]])
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (ids, places, sizes, lead)], schema=_REPEATS)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at, n, first_id): runs of n sentences from sentence ``at`` that stand earlier in first_id."""
+    """(id, at, n, first_id): runs of n sentences from sentence ``at`` that stand earlier in first_id.
+
+    One exchange by hash: the rows that must meet (one a block and hash) by the hash alone,
+    settled repeats over all tasks.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id is not null and t is not null")
-    found = written(rows.mapInArrow(_hashed, "a long, b long, id long, at int, n int"), "runs")
-    first = found.groupBy("a", "b").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    rows = found.join(first, ["a", "b"]).filter("id <> first.id or at <> first.at")
-    return rows.select("id", "at", "n", F.col("first.id").alias("first_id"))
+    found = rows.mapInArrow(_hashed, _RUNS_DDL)
+    deal = F.when(F.col("again") == 1, F.col("id")).otherwise(F.lit(0))
+    found = found.repartition("a", "b", deal).sortWithinPartitions("a", "b", "again", "id", "at")
+    return found.mapInArrow(_not_first, "id long, at long, n long, first_id long")
 
 
 _OUT = pa.schema([("id", pa.int64()), ("text", pa.string()), ("removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("first_ids", pa.list_(pa.int64()))])
