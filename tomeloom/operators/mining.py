@@ -42,7 +42,7 @@ def _edge(w: Column, func: Sequence[str]) -> Column:
 
 def grams(pages: DataFrame, func: Sequence[str]) -> DataFrame:
     """One row per counted n-gram: book_key, page, s (sentence), c (clause), a (token), n, key,
-    surface, inner (not at the sentence's start), raw (the sentence)."""
+    surface, inner (not at the sentence's start), capital (it opens on one), raw (the sentence)."""
     rows = pages.select("book_key", "page", F.posexplode(T.sentences(F.col("text"))).alias("s", "raw"))
     rows = rows.select("*", F.posexplode(T.clauses(F.col("raw"))).alias("c", "toks"))
     rows = rows.withColumn("low", F.transform("toks", F.lower))
@@ -50,6 +50,7 @@ def grams(pages: DataFrame, func: Sequence[str]) -> DataFrame:
     rows = rows.select("*", F.posexplode("low").alias("a", "w0")).filter(_edge(F.col("w0"), func))
     low = [F.col("w0"), *[F.col(f"w{i}") for i in range(1, MAX_N)]]
     rows = rows.select("*", *[F.get("low", F.col("a") + i).alias(f"w{i}") for i in range(1, MAX_N)], *[F.get("toks", F.col("a") + i).alias(f"t{i}") for i in range(MAX_N)])
+    rows = rows.withColumn("capital", T.is_capital(F.col("t0")))
     made = []
     for n in range(1, MAX_N + 1):
         inner = F.lit(True)
@@ -57,8 +58,8 @@ def grams(pages: DataFrame, func: Sequence[str]) -> DataFrame:
             inner = inner & (F.length(w) >= 2)
         last = low[n - 1].isNotNull() & inner & (_edge(low[n - 1], func) if n > 1 else F.lit(True))
         made.append(F.when(last, F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *low[:n]).alias("key"), F.concat_ws(" ", *[f"t{i}" for i in range(n)]).alias("surface"))))
-    rows = rows.select("book_key", "page", "s", "c", "a", "raw", F.explode(F.array_compact(F.array(*made))).alias("g"))
-    rows = rows.select("book_key", "page", "s", "c", "a", "g.n", "g.key", "g.surface", ((F.col("c") + F.col("a")) > 0).alias("inner"), "raw")
+    rows = rows.select("book_key", "page", "s", "c", "a", "raw", "capital", F.explode(F.array_compact(F.array(*made))).alias("g"))
+    rows = rows.select("book_key", "page", "s", "c", "a", "g.n", "g.key", "g.surface", ((F.col("c") + F.col("a")) > 0).alias("inner"), "capital", "raw")
     return rows.filter(F.length("key") <= MAX_KEY)
 
 
@@ -84,7 +85,7 @@ def gram_counts(pages: DataFrame, func: Sequence[str], min_freq: int = 1) -> Dat
     keys = found.groupBy("book_key", "key", "n").agg(
         F.count(F.lit(1)).alias("freq"),
         F.count_if("inner").alias("non_init"),
-        F.count_if(F.col("inner") & T.is_capital(F.col("surface"))).alias("cap_non_init"),
+        F.count_if(F.col("inner") & F.col("capital")).alias("cap_non_init"),
         F.count_if(F.col("inner") & cased).alias("cased"),
         F.min("place").alias("first_seen"),
         F.count_distinct("page").alias("page_count"),
@@ -174,6 +175,7 @@ def cvalue(cands: DataFrame) -> DataFrame:
             sums = nested.groupBy("book_key", "key").agg(F.sum("contrib").alias("nested"))
             level = level.join(sums, ["book_key", "key"], "left").withColumn("freq", F.col("freq") - F.coalesce("nested", F.lit(0)))
         subs = level.filter("freq > 0").select("book_key", F.explode(_inside(F.col("key"))).alias("key"), F.col("freq").alias("contrib"))
+        subs = written(subs, "inside")  # the levels below read it again
         nested = subs if nested is None else nested.unionByName(subs)
     sums = nested.groupBy("book_key", "key").agg(F.sum("contrib").alias("nested"))
     out = cands.join(sums, ["book_key", "key"], "left")
@@ -227,7 +229,8 @@ def mine_terms(
         auto = auto_stopwords(counts, pages.groupBy("book_key").agg(F.count_distinct("page").alias("pages")), min_freq, min_pages)
     # what reaches the floor is a small table that the ranking reads several times
     cands = written(candidates(counts, min_freq, min_pages, auto), "candidates")
-    terms = split_conjunctions(accepted(cvalue(cands), min_freq, stop.common), cands.withColumn("adj", F.col("freq")))
+    terms = written(accepted(cvalue(cands), min_freq, stop.common), "terms")
+    terms = split_conjunctions(terms, cands.withColumn("adj", F.col("freq")))
     out = top_terms(terms, cap).withColumnRenamed("display", "term")
     columns = ["book_key", "rank", "term", "key", "freq", F.round("score", 6).alias("score")]
     if with_pages or with_sample:
