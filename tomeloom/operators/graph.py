@@ -18,6 +18,7 @@ from tomeloom.functions.words import QUESTION_WORDS
 # Fixed values.
 SHARE_TOP, SHARE_FLOOR, SHARE_DEGREE, SHARE_CARRIERS = 30, 0.06, 6, 120
 PER_PAGE, PAIR_TOP, MAX_PAGES = 24, 200, 8
+MOST_QUESTIONS = 20_000  # questions that may be broadcast
 SCORE_FLOOR, MAX_CONCEPTS, MAX_BOOKS, PAGES_SHOWN, NEARBY, BLOCK, NEARBY_ROOM = 0.35, 8, 3, 5, 3, 1400, 160
 
 
@@ -156,8 +157,8 @@ def asked_words(c: Column) -> Column:
 def graph_lookup(questions: DataFrame, nodes: DataFrame, top: int = MAX_CONCEPTS) -> DataFrame:
     """(q_id, rank, id, score) from questions (q_id, q[, quote, open_book]) and merged nodes.
 
-    Candidates come by equi-joins on shared words (folded and not) and, for phrases inside
-    words, on the substring rule over distinct ids; the score is computed on those alone.
+    A theta join by definition (phrases and substrings count): concepts stream past the
+    questions, and a cheap test of shared words or substrings comes before any score.
     """
     quote = F.coalesce("quote", F.lit("")) if "quote" in questions.columns else F.lit("")
     opened = F.col("open_book") if "open_book" in questions.columns else F.lit(None).cast("string")
@@ -168,8 +169,9 @@ def graph_lookup(questions: DataFrame, nodes: DataFrame, top: int = MAX_CONCEPTS
     nid = F.when(F.col("id").startswith("n:"), F.expr("substring(id, 3)")).otherwise(T.norm_id(F.col("label")))
     concepts = concepts.select("id", nid.alias("nid"), F.col("kind").isin("term", "topic").alias("folded"), "weight", "books").filter("nid <> ''")
     concepts = concepts.withColumn("parts", F.filter(F.split("nid", " "), lambda w: (F.length(w) >= 3) & ~w.isin(*QUESTION_WORDS)))
-    # the question side is the small one: it is what a reader typed
-    pairs = concepts.join(F.broadcast(qs), _may_match())
+    # questions are what readers typed; a table of them beyond the bound is not broadcast
+    few = qs.limit(MOST_QUESTIONS + 1).count() <= MOST_QUESTIONS
+    pairs = concepts.join(F.broadcast(qs) if few else qs, _may_match())
     hits = []
     for text, needs_fold in (("nq", False), ("fq", True)):
         q = F.col(text)
