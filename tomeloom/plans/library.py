@@ -157,7 +157,7 @@ def find_wrap_order(spark, sf_dir):
 
 def fuzzy_rank(spark, sf_dir):
     """SE04: part names by fuzzy score (rows only)."""
-    return table(spark, sf_dir, "part").select("p_partkey", fuzzy_score(F.lit("steel"), F.col("p_name")).alias("score")).filter("score is not null")
+    return table(spark, sf_dir, "part").select("p_partkey", fuzzy_score(F.lit("rin"), F.col("p_name")).alias("score")).filter("score is not null")
 
 
 def library_order(spark, sf_dir):
