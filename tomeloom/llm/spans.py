@@ -181,7 +181,8 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, text without repeated sentences, removed (their count),
-    spans (start and end of what is gone, in code points), first_ids (where it stands earlier).
+    spans (start and end of what is gone, in code points), first_ids (documents where it stands
+    earlier; which of several earlier ones are named depends on how the input is dealt).
 
     * a null text stays null and an empty one empty; a row without an id stays as it is;
     * repeats inside a document count too: all but the first go;
