@@ -87,6 +87,8 @@ def _combined(a: list[int], b: list[int], ids: list[int], places: list[int], siz
     rows = [np.array(x, np.int64) for x in (a, b, ids, places, sizes)]
     order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
     a, b, ids, places, sizes = (x[order] for x in rows)
+    once = _starts(a, b, ids, places)  # rows given twice are one document
+    a, b, ids, places, sizes = (x[once] for x in (a, b, ids, places, sizes))
     new = _starts(a, b)
     first = ids[np.flatnonzero(new)[np.cumsum(new) - 1]]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, (~new).astype(np.int64), ids, places, sizes, first)], schema=_RUNS)
