@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import mmap
 import os
-import tempfile
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -43,6 +42,7 @@ class DigestTable:
         self.offsets = np.frombuffer(block, "<i8", n + 1, 16 + 8 * n)
         self.values = np.frombuffer(block, "u1", n, 24 + 16 * n)
         self.base = 24 + 17 * n
+        self.found: list[int] | None = None
 
     @staticmethod
     def built(entries: Sequence[tuple[str, int]], most_bytes: int = MOST_BYTES) -> bytes:
@@ -60,20 +60,18 @@ class DigestTable:
 
     @classmethod
     def mapped(cls, block: bytes) -> DigestTable:
-        """The table in memory-mapped pages of a file that is gone once the process ends."""
-        with tempfile.NamedTemporaryFile(delete=False) as f:
+        """The table in memory-mapped pages of a file without a name, which is in no folder and
+        gone once the process ends."""
+        with os.fdopen(os.memfd_create("urls"), "r+b") as f:
             f.write(block)
-        with open(f.name, "rb") as g:
-            pages = mmap.mmap(g.fileno(), 0, access=mmap.ACCESS_READ)
-        os.unlink(f.name)
-        return cls(pages)
+            f.flush()
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def lengths(self) -> list[int]:
         """Path lengths (in characters) that entries have, ascending."""
-        found = set()
-        for i in range(len(self.keys)):
-            found.add(len(self.text(i).partition("/")[2]) + ("/" in self.text(i)))
-        return sorted(found)
+        if self.found is None:
+            self.found = sorted({len(t) - (t.find("/") if "/" in t else len(t)) for t in map(self.text, range(len(self.keys)))})
+        return self.found
 
     def text(self, i: int) -> str:
         a, b = self.offsets[i : i + 2].tolist()
@@ -122,6 +120,15 @@ _SCHEMA = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa
 _tables: dict[int, DigestTable] = {}
 
 
+def _mapped_once(block: bytes) -> DigestTable:
+    """The last table that this worker process was given stays mapped."""
+    key = xxhash.xxh3_64_intdigest(block)
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = DigestTable.mapped(block)
+    return _tables[key]
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, blocked: Sequence[str] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule (host + path of the longest that fits), verdict.
 
@@ -136,7 +143,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, block
     shared = pages.sparkSession.sparkContext.broadcast(DigestTable.built(list(both.items())))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _tables.get(id(shared.value)) or _tables.setdefault(id(shared.value), DigestTable.mapped(shared.value))
+        table = _mapped_once(shared.value)
         lengths = table.lengths()
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
