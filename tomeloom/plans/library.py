@@ -78,13 +78,12 @@ def co_occurrence(spark, sf_dir):
 
 
 def graph_lookup(spark, sf_dir):
-    """JN07, SE07: concepts that a question names."""
-    nodes = graph.merge_nodes(_concepts(spark, sf_dir)).select(F.concat(F.lit("n:"), T.concept_id(F.col("label"))).alias("id"), "kind", "label", "weight", "books").dropDuplicates(["id"])
+    """JN07, SE07: concepts that a question names; a question for every twentieth part."""
     # a node a label: weights are those of the part, so that the choice among equals is plain
     part = table(spark, sf_dir, "part")
     nodes = part.select(F.concat(F.lit("n:"), T.concept_id(F.col("p_name"))).alias("id"), F.lit("term").alias("kind"), F.col("p_name").alias("label"), F.col("p_size").cast("double").alias("weight"), F.array(F.lit("x")).alias("books"))
     nodes = nodes.groupBy("id", "kind").agg(F.max("weight").alias("weight"), F.first("books").alias("books"), F.min("label").alias("label"))
-    questions = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q_id"), F.concat(F.lit("What is the "), F.col("p_name"), F.lit(" about?")).alias("q"))
+    questions = part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("q_id"), F.concat(F.lit("What is the "), F.col("p_name"), F.lit(" about?")).alias("q"))
     return graph.graph_lookup(questions, nodes)
 
 
@@ -113,10 +112,9 @@ def nfkc_norm_ids(spark, sf_dir):
 
 
 def dice_pairs(spark, sf_dir):
-    """FN05, FN06: similar benchmark passages by their bigrams."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring(T.out_norm(F.col("text")), 1, 60).alias("t"))
-    pairs = b.alias("x").join(b.alias("y"), F.col("x.item_id") < F.col("y.item_id"))
-    return pairs.select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.round(T.dice(F.col("x.t"), F.col("y.t")), 9).alias("sim"))
+    """FN05, FN06: how alike a part's name and its type with its brand are, by their bigrams."""
+    part = table(spark, sf_dir, "part").select("p_partkey", T.out_norm(F.col("p_name")).alias("a"), T.out_norm(F.concat_ws(" ", "p_type", "p_brand")).alias("b"))
+    return part.select("p_partkey", F.round(T.dice(F.col("a"), F.col("b")), 9).alias("sim"))
 
 
 def duplicate_clusters(spark, sf_dir):
@@ -229,10 +227,10 @@ def moving_eta(spark, sf_dir):
 
 
 def carry_over_plan(spark, sf_dir):
-    """JN13: lines that a new edition shares with the old one, each old line used once."""
+    """JN13: lines of a new edition, and of the old one those that end a sentence, each used once."""
     rows = lines(spark, sf_dir)
-    old = rows.filter("page % 2 = 0").withColumn("tr", F.concat(F.lit("t:"), F.col("page"), F.lit(":"), F.col("idx")))
-    return translation.carry_over(rows.filter("page % 3 = 0").drop("tr"), old, 100).select("book_key", "page", "idx", "tr")
+    old = rows.filter("text rlike '[.!?]$'").withColumn("tr", F.concat(F.lit("t:"), F.col("page"), F.lit(":"), F.col("idx")))
+    return translation.carry_over(rows, old, 100).select("book_key", "page", "idx", "tr")
 
 
 def stale_translations(spark, sf_dir):
@@ -262,15 +260,15 @@ def _store(spark, sf_dir):
 
 def glossary_merge(spark, sf_dir):
     """SET05: a store with incoming records merged (rows only: appended lines are numbered)."""
-    new = table(spark, sf_dir, "part").filter("p_partkey % 4 = 0").select(F.col("p_brand").alias("book_key"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("term"), F.lit("tr").alias("translation"), F.lit(None).cast("string").alias("category"), F.col("p_type").alias("definition"))
+    new = table(spark, sf_dir, "part").select(F.col("p_brand").alias("book_key"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("term"), F.lit("tr").alias("translation"), F.lit(None).cast("string").alias("category"), F.col("p_type").alias("definition"))
     return glossary.merge_records(_store(spark, sf_dir), new)
 
 
 def glossary_merge3(spark, sf_dir):
     """JN18: my edit and the file's, merged over what both came from."""
-    part = table(spark, sf_dir, "part").groupBy("p_brand", F.col("p_name").alias("term")).agg(F.min("p_partkey").alias("seq")).withColumnRenamed("p_brand", "book_key")
+    part = table(spark, sf_dir, "part").groupBy("p_brand", F.col("p_name").alias("term")).agg(F.min("p_partkey").alias("seq"), F.min("p_size").alias("size")).withColumnRenamed("p_brand", "book_key")
     rows = part.withColumn("line", F.col("term"))
-    return glossary.merge3(rows.filter("seq % 2 = 0"), rows.filter("seq % 3 = 0"), rows.filter("seq % 5 <> 0")).select("book_key", "side", "seq", "key")
+    return glossary.merge3(rows.filter("size > 10"), rows.filter("size < 40"), rows.filter("size between 5 and 45")).select("book_key", "side", "seq", "key")
 
 
 def authors_and_citations(spark, sf_dir):
@@ -343,6 +341,12 @@ r_ AS (SELECT p_.*, row_number() OVER (PARTITION BY book_key, page ORDER BY weig
 k_ AS (SELECT * FROM r_ WHERE r <= 24),
 n_ AS (SELECT x.book_key, x.id AS a, y.id AS b, count(*) AS weight FROM k_ x JOIN k_ y ON x.book_key = y.book_key AND x.page = y.page AND x.id < y.id GROUP BY ALL)
 SELECT book_key, a, b, weight FROM (SELECT *, row_number() OVER (PARTITION BY book_key ORDER BY weight DESC, a, b) AS r FROM n_) WHERE r <= 20""",
+    "dice_pairs": """WITH p AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS a, trim(regexp_replace(lower(p_type || ' ' || p_brand), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS b FROM part),
+x AS (SELECT p_partkey, g, count(*) AS n FROM (SELECT p_partkey, unnest(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS g FROM p) GROUP BY ALL),
+y AS (SELECT p_partkey, g, count(*) AS n FROM (SELECT p_partkey, unnest(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) AS g FROM p) GROUP BY ALL),
+s AS (SELECT x.p_partkey, sum(least(x.n, y.n)) AS shared FROM x JOIN y ON x.p_partkey = y.p_partkey AND x.g = y.g GROUP BY ALL)
+SELECT p.p_partkey, round(CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN length(a) < 2 OR length(b) < 2 THEN 0.0 ELSE 2.0 * coalesce(shared, 0) / (length(a) + length(b) - 2) END, 9) AS sim
+FROM p LEFT JOIN s ON p.p_partkey = s.p_partkey""",
     "plural_fold": f"""WITH w_ AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '{T.TOKEN.replace("'", "''")}'), lambda x: regexp_matches(x, '^\\p{{L}}'))) AS w FROM documents WHERE lang = 'en')
 SELECT w, folded FROM (SELECT w, {_fold_sql('w')} AS folded FROM w_) WHERE w <> folded""",
     "concept_ids": f"""WITH n_ AS (SELECT p_partkey, name, {_concept_sql('name')} AS norm FROM (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), ' ') || 's'' ' || p_type || ' Boxes' AS name FROM part)),
@@ -384,8 +388,8 @@ SELECT CAST(CASE WHEN n > 5 AND r >= 5 THEN 5 ELSE r END AS INT) AS slot, CASE W
     "moving_eta": """SELECT o_custkey AS book_key, o_orderkey AS page, round(avg(CAST(o_totalprice AS DOUBLE)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
   * (count(*) OVER (PARTITION BY o_custkey) - row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)), 4) AS eta FROM orders""",
     "carry_over_plan": f"""WITH {_LINES}, k_ AS (SELECT *, lower(trim(regexp_replace(text, '{T.WS}+', ' ', 'g'))) AS key FROM lines_),
-o_ AS (SELECT book_key, key, 't:' || page || ':' || idx AS tr, row_number() OVER (PARTITION BY book_key, key ORDER BY page, idx) AS rn FROM k_ WHERE page % 2 = 0),
-t_ AS (SELECT book_key, page, idx, key, row_number() OVER (PARTITION BY book_key, key ORDER BY page, idx) AS rn FROM k_ WHERE page % 3 = 0)
+o_ AS (SELECT book_key, key, 't:' || page || ':' || idx AS tr, row_number() OVER (PARTITION BY book_key, key ORDER BY page, idx) AS rn FROM k_ WHERE regexp_matches(text, '[.!?]$')),
+t_ AS (SELECT book_key, page, idx, key, row_number() OVER (PARTITION BY book_key, key ORDER BY page, idx) AS rn FROM k_)
 SELECT t_.book_key, page, idx, tr FROM t_ LEFT JOIN o_ ON t_.book_key = o_.book_key AND t_.key = o_.key AND t_.rn = o_.rn""",
     "stale_translations": """SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber * 13 BETWEEN 1 AND 60 AND l_linenumber * 13 <> CAST(l_quantity AS INT) AND l_linenumber * 13 <> 2""",
     "glossary_word_match": """WITH g(term) AS (VALUES ('the'), ('and'), ('of a'), ('is'), ('und die'), ('F1'), ('re')),
@@ -393,7 +397,7 @@ c AS (SELECT DISTINCT conv_id || ':' || turn AS text_id, text FROM conversations
 SELECT DISTINCT text_id, term FROM c, g WHERE regexp_matches(lower(text), '(?:^|[^\\p{L}\\p{N}_])' || lower(term) || '(?:$|[^\\p{L}\\p{N}_])')""",
     "glossary_parse": """SELECT p_brand AS book_key, p_partkey AS line_no, trim(p_name) AS term, CASE WHEN p_partkey % 6 IN (1, 3) THEN p_type END AS translation,
   CASE WHEN p_partkey % 6 IN (2, 3) THEN p_brand END AS category, CASE WHEN p_partkey % 6 = 3 THEN p_type || ' :: more' END AS definition FROM part WHERE p_partkey % 6 < 4""",
-    "glossary_merge3": f"""WITH p AS (SELECT p_brand AS book_key, min(p_partkey) AS seq, {_concept_sql('p_name')} AS key FROM part GROUP BY p_brand, p_name)
-SELECT book_key, 0 AS side, seq, key FROM p WHERE seq % 5 <> 0 AND (seq % 3 = 0 OR seq % 2 <> 0) UNION ALL SELECT book_key, 1, seq, key FROM p WHERE seq % 3 = 0 AND seq % 5 = 0""",
+    "glossary_merge3": f"""WITH p AS (SELECT p_brand AS book_key, min(p_partkey) AS seq, min(p_size) AS size, {_concept_sql('p_name')} AS key FROM part GROUP BY p_brand, p_name)
+SELECT book_key, 0 AS side, seq, key FROM p WHERE size BETWEEN 5 AND 45 AND (size < 40 OR size <= 10) UNION ALL SELECT book_key, 1, seq, key FROM p WHERE size < 40 AND NOT size BETWEEN 5 AND 45""",
     "html_text": """SELECT p_partkey, '&lt;b&gt;' || p_name || '&lt;/b&gt; &amp; &quot;' || p_partkey || '&quot;' AS html, regexp_replace(lower('<b>' || p_name || '</b> & "' || p_partkey || '"'), '[0-9]+', '#', 'g') AS furniture, CAST(p_size + 0.5 AS DOUBLE) AS number FROM part""",
 }
