@@ -264,15 +264,3 @@ def ask_in_batches(records: DataFrame, model: Callable[[list[str]], list[str]],
             yield df.assign(reply=replies)
 
     return records.select("book_key", "term").mapInPandas(run, "book_key string, term string, reply string")
-
-
-def parse_replies(asked: DataFrame, replies: DataFrame) -> DataFrame:
-    """(book_key, term, kind, gloss): lines "term | kind | gloss" joined to what was asked by
-    concept id; of several lines for a term the first counts, unknown terms are dropped."""
-    rows = replies.select("book_key", F.posexplode(F.split("reply", "\n")).alias("no", "line"))
-    parts = F.transform(F.split("line", "\\|"), lambda p: T.flat(F.regexp_replace(p, "^[ \\t]*(?:[-*•]|[0-9]+[.)])[ \\t]+", "")))
-    rows = rows.select("book_key", "no", parts.alias("p")).filter("size(p) >= 2").withColumn("cid", T.concept_id(F.col("p")[0]))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("book_key", "cid").orderBy("no"))).filter("r = 1")
-    kind = F.lower(F.col("p")[1])
-    rows = rows.select("book_key", "cid", F.when(kind.isin(*KINDS), kind).alias("kind"), F.try_element_at("p", F.lit(3)).alias("gloss"))
-    return asked.withColumn("cid", T.concept_id(F.col("term"))).join(rows, ["book_key", "cid"]).select("book_key", "term", "kind", "gloss")
