@@ -245,7 +245,7 @@ def search_nodes(nodes: DataFrame, query: str) -> DataFrame:
 def seed_positions(nodes: DataFrame, width: float, height: float, gap: float = 14.0) -> DataFrame:
     """(id, x, y): a sunflower spiral by weight, the heaviest at the centre."""
     i = F.row_number().over(Window.orderBy(F.desc("weight"), "id")) - 1
-    rows = nodes.limit(700).withColumn("i", i)
+    rows = nodes.orderBy(F.desc("weight"), "id").limit(700).withColumn("i", i)
     angle, radius = F.col("i") * 2.399963229728653, gap * F.sqrt(F.col("i") + 0.5)
     return rows.select("id", (width / 2 + radius * F.cos(angle)).alias("x"), (height / 2 + radius * F.sin(angle)).alias("y"))
 
