@@ -125,10 +125,39 @@ def to_translate(spark, sf_dir):
     return docs.select("doc_id", T.needs_translation(F.col("lang"), F.lit("en-GB")).alias("needed"), T.plural_form(F.col("n_chars"), "ru").cast("int").alias("ru"), T.plural_form(F.col("n_chars"), "fr").cast("int").alias("fr"))
 
 
+def _sidecars(spark, sf_dir):
+    part = table(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.count(F.lit(1)).alias("freq"), F.min("p_size").alias("s"), F.collect_set(F.col("p_size") - 30).alias("pages"))
+    entry = F.struct(F.when(F.col("s") < 20, "topic").otherwise("gadget").alias("kind"), F.col("pages"), F.col("freq"), F.when(F.col("s") < 10, "user").otherwise("mined").alias("source"))
+    terms = F.map_from_entries(F.collect_list(F.struct(F.col("p_name"), entry)))
+    raw = part.groupBy(F.col("p_brand").alias("book_key")).agg(terms.alias("terms"))
+    return raw.select("book_key", F.to_json(F.struct(F.lit(2).alias("v"), F.lit("EN").alias("lang"), F.lit("no tag!").alias("target"), "terms")).alias("json"))
+
+
+def _listed(c):
+    return F.array_join(F.transform(c, lambda p: p.cast("string")), ",")
+
+
+def sidecar_fields(spark, sf_dir):
+    """SRC13: entries of sidecar files, held to their vocabularies."""
+    out = glossary.parse_sidecar(_sidecars(spark, sf_dir))
+    return out.select("book_key", "lang", "target", "key", "kind", _listed("pages").alias("pages"), "freq", "source")
+
+
+def sidecar_merge(spark, sf_dir):
+    """AGG20, JN04: a new sidecar out of records and the previous one."""
+    part = table(spark, sf_dir, "part").filter("p_size > 5").groupBy(F.col("p_brand").alias("book_key"), F.col("p_name").alias("term"))
+    records = part.agg((F.max("p_size") / 10).cast("long").alias("freq"), F.collect_set("p_size").alias("pages")).withColumn("kind", F.lit(None).cast("string")).withColumn("aliases", F.array(F.lit("same"), F.lit("Same")))
+    records = records.withColumn("source", F.lit("model"))
+    out = glossary.build_sidecar(records, glossary.parse_sidecar(_sidecars(spark, sf_dir)))
+    return out.select("book_key", "key", "kind", F.array_join("aliases", "|").alias("aliases"), _listed("pages").alias("pages"), "freq", "source")
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}
 
 _NODES = "n_ AS (SELECT 'n:' || p_partkey AS id, p_name AS label, CASE WHEN p_size > 40 THEN 'book' ELSE 'term' END AS kind, CAST(p_retailprice AS DOUBLE) AS weight FROM part)"
 _NORM = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_SIDE = f"""WITH g_ AS (SELECT p_brand AS book_key, {_NORM.format('p_name')} AS key, count(*) AS freq, min(p_size) AS s, list(DISTINCT p_size - 30) AS all_pages FROM part GROUP BY ALL),
+s_ AS (SELECT book_key, key, freq, CASE WHEN s < 20 THEN 'topic' END AS kind, CASE WHEN s < 10 THEN 'user' ELSE 'mined' END AS source, list_sort(list_filter(all_pages, lambda p: p >= 1))[1:8] AS pages FROM g_)"""
 _END = "[.!?…:;][\"»”’)\\]]*[ \\t\\n]*$"
 _VALUES = ", ".join("('" + a.replace("'", "''") + "', '" + b.replace("'", "''") + f"', {i})" for i, (a, b) in enumerate(PAIRS))
 ORACLE = {
@@ -176,6 +205,11 @@ FROM c LEFT JOIN m USING (text_id)""",
 k AS (SELECT *, regexp_extract(term, '[^ ]*$') AS cluster FROM r),
 f AS (SELECT book_key, cluster, arg_min(term, (mined, -freq, term)) AS term, CAST(sum(freq) AS BIGINT) AS freq, list_sort(list(term)) AS terms, list_sort(list_distinct(flatten(list(pages))))[1:8] AS pages FROM k GROUP BY ALL)
 SELECT book_key, term, freq, array_to_string(list_filter(terms, lambda x: x <> term)[1:12], '|') AS aliases, array_to_string(pages, ',') AS pages FROM f""",
+    "sidecar_fields": f"""{_SIDE} SELECT book_key, 'en' AS lang, 'und' AS target, key, kind, CASE WHEN len(pages) > 0 THEN array_to_string(pages, ',') END AS pages, freq, source FROM s_""",
+    "sidecar_merge": f"""{_SIDE}, r_ AS (SELECT p_brand AS book_key, {_NORM.format('p_name')} AS key, CAST(floor(max(p_size) / 10) AS BIGINT) AS freq, list(DISTINCT p_size) AS pages FROM part WHERE p_size > 5 GROUP BY ALL)
+SELECT r_.book_key, r_.key, kind, 'same' AS aliases, array_to_string(list_sort(list_distinct(list_concat(r_.pages, coalesce(s_.pages, []))))[1:8], ',') AS pages,
+  CASE WHEN greatest(s_.freq, r_.freq) >= 1 THEN greatest(s_.freq, r_.freq) END AS freq, CASE WHEN source = 'user' THEN 'user' ELSE 'model' END AS source
+FROM r_ LEFT JOIN s_ ON s_.book_key = r_.book_key AND s_.key = r_.key""",
     "to_translate": """SELECT doc_id, coalesce(CASE WHEN regexp_matches(regexp_extract(lower(trim(lang)), '^[^-_]*'), '^[a-z]{2,3}$') THEN regexp_extract(lower(trim(lang)), '^[^-_]*') END, '') <> 'en' AS needed,
 CAST(CASE WHEN n_chars % 10 = 1 AND n_chars % 100 <> 11 THEN 0 WHEN n_chars % 10 BETWEEN 2 AND 4 AND n_chars % 100 NOT BETWEEN 12 AND 14 THEN 1 ELSE 2 END AS INT) AS ru, CAST(CASE WHEN n_chars <= 1 THEN 0 ELSE 1 END AS INT) AS fr FROM documents""",
 }
