@@ -292,6 +292,18 @@ def test_language_without_labels(spark):
     assert langid.identify(documents(spark)).count() == documents(spark).count()
 
 
+def test_language_models_keep_all_of_the_sample(spark):
+    """More 4-grams than 600,000, and more languages than 1000: none is forgotten."""
+    r = np.random.default_rng(1)
+    data = [(i, "".join(map(chr, r.integers(0x4E00, 0x9F00, 500))), "mm", None, None) for i in range(3000)]
+    data += [(5000 + i, "".join(map(chr, r.integers(0xAC00, 0xD7A0, 60))), "zz", None, None) for i in range(40)]
+    model = langid.fit(documents(spark, data))
+    assert model.langs == ["mm", "zz"] and len(model.keys[langid.ORDER]) > 600_000
+    assert model.judge([data[-1][1]])[0][0] == "zz"
+    many = documents(spark, [(i, "banana", f"l{i:04d}", None, None) for i in range(2000)])
+    assert len(langid.fit(many).langs) > 1000
+
+
 def test_kneser_ney_sums_to_one():
     chars = langid.characters("banana bandana cabana")
     keys, n = np.unique(langid.grams(chars), return_counts=True)

@@ -8,7 +8,7 @@ every language.  The language of least cross-entropy per character wins; a text
 where even that is far above what held-back training texts of the language have.
 
 The classifier is fitted on a bounded sample of the labelled rows (``per_lang`` rows a
-language, chosen by a hash of the id) and keeps at most ``max_grams`` 4-grams; it scores
+language, chosen by a hash of the id), of which it keeps every language and 4-gram; it scores
 every whole text.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeloom.llm.arrow import Sink, rows_of
-from tomeloom.llm.store import written
+from tomeloom.llm.store import small_join, written
 
 ORDER = 4
 #: Characters that a model that knows nothing takes for equally likely.
@@ -211,23 +211,22 @@ def held_out(ident: Column) -> Column:
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, per_lang: int = 4_000, max_grams: int = 600_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, per_lang: int = 4_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from labelled rows that are not held out: about ``per_lang`` rows a language.
 
     A fifth of the sample is kept back to calibrate scores and rejection.  Null labels and
     null texts teach nothing; without labelled rows every text is `und`.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).filter(F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    n = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
-    if not n:
+    sizes = written(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("total")), "languages")
+    if not sizes.limit(1).count():
         return Model({})
-    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, per_lang / v))])
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.filter(draw < F.try_element_at(share, F.col("lang")))
+    sample = small_join(labelled, sizes, ["lang"]).filter(draw < F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("total")))
     fold = F.pmod(F.xxhash64(F.col("id"), F.lit("fold")), F.lit(5)) == 0
     sample = written(sample.select("lang", "t", fold.alias("back")), "language-sample")
     counts = sample.filter("not back").select("lang", "t").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
+    found = counts.toArrow()
     langs, keys, sums = (found.column(i).to_numpy(zero_copy_only=False) for i in range(3))
     model = Model({lang: (keys[langs == lang].astype(np.int64).view(np.uint64), sums[langs == lang]) for lang in dict.fromkeys(langs.tolist())})
     if model.langs:
