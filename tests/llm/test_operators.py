@@ -356,6 +356,20 @@ def test_skip_chain_carries_labels(spark):
     assert pii.personal_data(documents(spark, [])).count() == 0
 
 
+def test_one_mark_reaches_all_bare_repeats(spark):
+    texts = [prose(i, 40) + f" Call +1 (877) 555-{1000 + i} now. " + prose(i + 500, 30) for i in range(60)]
+    texts += [prose(i, 30) + f" order 20{i:02d} 1234 {i:02d}77 done" for i in range(60)]
+    repeats = [0, 1, 2, 6, 40]
+    for after in (True, False):
+        for k in repeats:
+            bare = "".join(f" {prose(k * 100 + j, 12)} again 877 555-9876 here. " for j in range(k))
+            mark = " Call +1 (877) 555-9876 now. " + prose(k, 15)
+            texts.append(mark + bare if after else bare + mark)
+    got = {r.doc_id: r.spans for r in pii.personal_data(documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    assert [got[120 + i].count("phone:") for i in range(10)] == [1 + k for k in repeats] * 2
+    assert all(got[60 + i] == "" for i in range(60))
+
+
 # --- 6 WARC ----------------------------------------------------------------------------------
 
 

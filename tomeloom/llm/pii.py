@@ -141,15 +141,25 @@ def nodes(text: str) -> tuple[list[list[tuple[int, int]]], list[Node]]:
 
 
 def _similar(found: list[Node]) -> list[tuple[int, int]]:
-    """Pairs that share a skip potential: each node and the last before it with the same
-    content, or the same last seven digits (a number with and without its prefix)."""
-    last: dict[str, int] = {}
+    """Pairs that share a skip potential: each node and its content's hubs, wherever they stand.
+
+    Hubs are the first pattern's span of each kind with the same content, or the same last
+    seven digits (a number with and without its prefix); without any, the first node.  So all
+    repeats of a number are one step from what decides it, and there are few pairs a node.
+    """
+    keyed = [[n.content] if "@" in n.content else [n.content, "..." + n.content[-7:]] for n in found]
+    first: dict[str, int] = {}
+    marked: dict[str, dict[int, int]] = {}
+    for i, n in enumerate(found):
+        for k in keyed[i]:
+            first.setdefault(k, i)
+            if n.kind is not None:
+                marked.setdefault(k, {}).setdefault(n.kind, i)
     out = []
     for i, n in enumerate(found):
-        keys = [n.content] if "@" in n.content else [n.content, "..." + n.content[-7:]]
-        linked = {last[k] for k in keys if k in last}
-        out += [(j, i) for j in sorted(linked)]
-        last.update(dict.fromkeys(keys, i))
+        if n.kind is None:
+            hubs = {j for k in keyed[i] for j in (marked[k].values() if k in marked else [first[k]])}
+            out += [(min(i, j), max(i, j)) for j in sorted(hubs) if j != i]
     return out
 
 
@@ -159,14 +169,16 @@ class Field:
     def __init__(self, node: np.ndarray, transition: np.ndarray, skip: float = 8.0, doubt: float = 4.0, near: int = 60):
         self.node, self.transition, self.skip, self.doubt, self.near = node, transition, skip, doubt, near
 
-    def marginals(self, found: list[Node], rounds: int = 12) -> np.ndarray:
+    def marginals(self, found: list[Node], rounds: int | None = None) -> np.ndarray:
+        """Until messages settle; at most as many rounds as the longest chain has nodes, and 50."""
         n, k = len(found), OTHER + 1
+        rounds = max(50, n) if rounds is None else rounds
         # what a stretch looks like is never certain: bounded, unlike what a pattern decided
         unary = np.stack([x.features for x in found]) @ self.node.T
         unary = np.maximum(unary - unary.max(axis=1, keepdims=True), -self.doubt)
         for i, x in enumerate(found):
             if x.kind is not None:
-                unary[i] = -50.0
+                unary[i] = -1e6  # beyond what any number of repeats could outvote
                 unary[i, x.kind] = 0.0
         edges = [(i, i + 1, self.transition) for i in range(n - 1) if found[i + 1].start - found[i].end <= self.near]
         # a skip edge rewards equal labels, "none" too: repeating a number makes it nobody's
