@@ -45,3 +45,29 @@ def test_clean_documents_stay(spark):
     for name in ("language", "exact", "near"):
         docs = STAGES[name](spark, docs, "")
         assert docs.count() == 200, name
+
+
+def test_near_stage_drops_copies_at_080_to_095(spark):
+    """Copies of ordinary length with words replaced: five-word similarity decides, not two bits."""
+    import random
+
+    def sim(a, b):
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.split(), b.split()))
+        return len(a & b) / len(a | b)
+
+    r = random.Random(8)
+    data, gone, stay = [], set(), set()
+    for i in range(120):
+        words = [f"w{r.randint(0, 5000)}" for _ in range(r.randint(100, 400))]
+        copy = list(words)
+        for k in r.sample(range(len(words)), max(1, int(len(words) * r.choice([0.005, 0.01, 0.02, 0.05])))):
+            copy[k] = f"new{k}"
+        data += [(i, " ".join(words), "en", "s", None), (1000 + i, " ".join(copy), "en", "s", None)]
+        (gone if sim(*(" ".join(x) for x in (words, copy))) >= 0.8 else stay).add(1000 + i)
+    data += [(None, data[0][1] + " more", "en", "s", None), (None, "no id and like nothing else here", "en", "s", None)]
+    data += [(i, "one text. " + f"hot {i}" + " more words of it" * 60, "en", "s", None) for i in range(5000, 5060)]
+    assert len(gone) > 60 and len(stay) > 10
+    kept = {r.doc_id for r in STAGES["near"](spark, with_clashes(documents(spark, data)).repartition(5), "").collect()}
+    assert not kept & gone and stay <= kept and set(range(120)) <= kept
+    assert None in kept
+

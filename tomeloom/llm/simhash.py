@@ -32,22 +32,32 @@ RADIUS = 2
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """SimHash of a text's word shingles, repeats included; 0 for a text without words.
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's word shingles in order, repeats included; none for a text without words.
 
-    bytes.lower() and bytes.split() touch just A-Z and x20, x09-x0D.  A bit is set if more
-    than half of the shingles' hashes have it.
+    bytes.lower() and bytes.split() touch just A-Z and x20, x09-x0D.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) < size:
         shingles: Iterable[bytes] = [b" ".join(words)]
         n = 1
     else:
         n = len(words) - size + 1
         shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """SimHash of a text's word shingles; 0 for a text without words.
+
+    A bit is set if more than half of the shingles' hashes have it.
+    """
+    hashes = shingle_hashes(text, size)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, _CHUNK):
         bits = np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

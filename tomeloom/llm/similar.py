@@ -1,0 +1,147 @@
+"""Near-duplicates by the Jaccard similarity of five-word shingles, verified on whole texts.
+
+MinHash signatures give candidates: documents that agree in all rows of a band share a
+bucket.  In each bucket the smallest document is compared with all others, on all their
+shingles; of two that are similar the larger goes, and what is left of the bucket is compared
+with more leaders at a time (32, then 256), until nothing is left.  So no two documents that share a bucket and are similar both stay.
+
+A pair at similarity s shares a bucket with probability 1 - (1 - s ** ROWS) ** BANDS, which
+is 0.9998 at 0.8.  A bucket is never paired with itself, and a large one is dealt to many
+tasks: each has the leader's text and a share of the others.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tomeloom.llm.arrow import Sink, rows_of
+from tomeloom.llm.simhash import shingle_hashes
+from tomeloom.llm.store import two_hop_join, written
+
+SHINGLE, LEAST = 5, 0.8
+BANDS, ROWS = 16, 4
+#: Tasks over which a bucket's members are dealt, at most.
+SALTS = 256
+_CHUNK = 1 << 12
+_random = np.random.default_rng(42)
+_MASKS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_FACTORS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles; texts without words have one in common."""
+    found = shingle_hashes(text, size)
+    return np.unique(found) if len(found) else np.zeros(1, np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared shingles, of all that either has."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def buckets(found: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), _CHUNK):
+        mixed = (found[at : at + _CHUNK, None] ^ _MASKS) * _FACTORS
+        np.minimum(least, mixed.min(axis=0), out=least)
+    raw = least.tobytes()
+    keys = [xxhash.xxh3_64_intdigest(raw[8 * ROWS * b : 8 * ROWS * (b + 1)], b) for b in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+_KEYS = pa.schema([("key", pa.int64()), ("i", pa.int64()), ("h", pa.int64())])
+
+
+def _keyed(size: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink = Sink(_KEYS)
+        for i, h, text in rows_of(batches):
+            for key in buckets(shingles(text, size)):
+                yield from sink.add((key, i, h))
+        yield from sink.end()
+
+    return run
+
+
+_NODES = pa.schema([("i", pa.int64()), ("h", pa.int64())])
+
+
+def _alike(size: int, least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (li, lh, salt, member, i, h, t) sorted so that a leader stands before its members:
+    the larger of each similar two."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink, lead = Sink(_NODES), None
+        for li, lh, _, member, i, h, text in rows_of(batches, 64):
+            found = shingles(text, size)
+            if not member:
+                lead = found
+            elif similarity(lead, found) >= least:
+                yield from sink.add(max((i, h), (li, lh)))
+        yield from sink.end()
+
+    return run
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """(i, h) of the larger of each two of pairs, leader (li, lh) and member (i, h), that are similar."""
+    pairs = pairs.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)))
+    members = pairs.join(texts, ["i", "h"]).select("li", "lh", "salt", F.lit(1).alias("member"), "i", "h", "t")
+    leads = pairs.select("li", "lh", "salt").distinct().join(texts.withColumnsRenamed({"i": "li", "h": "lh"}), ["li", "lh"])
+    leads = leads.select("li", "lh", "salt", F.lit(0).alias("member"), F.col("li").alias("i"), F.col("lh").alias("h"), "t")
+    dealt = members.unionByName(leads).repartition("li", "lh", "salt").sortWithinPartitions("li", "lh", "salt", "member")
+    return dealt.mapInArrow(_alike(size, least), "i long, h long").distinct()
+
+
+def _led(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (key, i, h, run) of the buckets with several, with at most ``most`` leaders of each."""
+    parts = rows.groupBy("key", F.pmod(F.col("h"), F.lit(most)).alias("part")).agg(F.min(F.struct("i", "h")).alias("lead"), F.count(F.lit(1)).alias("n"))
+    leads = parts.groupBy("key").agg(F.collect_list("lead").alias("leads"), F.sum("n").alias("n")).filter("n > 1").drop("n")
+    return two_hop_join(rows, leads, "run", ["key"]).filter("leads is not null")
+
+
+def _node(ident: Column, text: Column) -> list[Column]:
+    """What names a document: its id (none is last in order) and a digest of its text."""
+    return [F.coalesce(ident.cast("long"), F.lit((1 << 63) - 1)).alias("i"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h")]
+
+
+def drop_similar(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those whose text is similar to that of a smaller id, all columns unchanged.
+
+    * similar: a Jaccard similarity of at least ``least`` over distinct runs of ``shingle``
+      words (a shorter text is one run), words as SimHash has them;
+    * what goes has a link, or a chain of them, to a smaller document that stays;
+    * texts without words are similar to each other; rows that repeat an id and a text stay
+      or go together; rows without an id come last, by their text's digest.
+    """
+    node = _node(F.col(id_col), F.col(text_col))
+    base = docs.select(*node, F.col(text_col).alias("t")).mapInArrow(_keyed(shingle), "key long, i long, h long")
+    rows = written(base.withColumn("run", F.spark_partition_id()), "buckets")
+    led = written(_led(rows, 1), "led")
+    texts = None
+    gone = docs.sparkSession.createDataFrame([], "i long, h long")
+    me, leader = F.struct("i", "h"), F.array_contains("leads", F.struct("i", "h"))
+    for most in chain((32,), repeat(256)):
+        pairs = led.select("i", "h", leader.alias("leader"), F.explode("leads").alias("lead")).filter((F.col("lead") < me) | ((F.col("lead") > me) & ~F.col("leader")))
+        pairs = pairs.select("i", "h", F.col("lead.i").alias("li"), F.col("lead.h").alias("lh")).distinct()
+        if not pairs.limit(1).count():
+            break
+        if texts is None:
+            named = led.select("i", "h").distinct()
+            texts = docs.select(*node, F.col(text_col).alias("t")).join(named, ["i", "h"], "left_semi")
+            texts = written(texts.dropDuplicates(["i", "h"]), "candidates")
+        found = written(_similar(pairs, texts, shingle, least), "similar")
+        gone = gone.unionByName(found)
+        # leaders have met all of their bucket; what has gone needs no more comparing
+        led = written(_led(led.filter(~leader).select("key", "i", "h", "run").join(found, ["i", "h"], "left_anti"), most), "led")
+    out = docs.select(F.struct("*").alias("doc"), *node).join(gone.distinct(), ["i", "h"], "left_anti")
+    return out.select("doc.*")
