@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from tests.llm.helpers import documents, prose, rows, with_clashes
-from tomeloom.llm import components, exact_dedup, gif, langid, mixing, packing, pii, simhash, spans, urls, warc
+from tomeloom.llm import components, exact_dedup, gif, langid, mixing, near, packing, pii, simhash, spans, urls, warc
 from tomeloom.llm.queries import tokenizer_path
 
 # --- 5 exact dedup ---------------------------------------------------------------------------
@@ -90,11 +90,74 @@ def test_near_groups(spark):
     want = plain_components(data)
     assert rows(got) == sorted(want, key=repr)
     assert len({c for *_, c in want}) < len(want) - 3  # the near copies do link
-    kept = simhash.drop_near_copies(docs)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for *_, c in want})
     assert simhash.near_groups(documents(spark, [])).count() == 0
 
 
+def plain_shingles(text, size=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} or {tuple(words)}
+
+
+def plain_near(data, least=0.8):
+    """Ids that stay if each text similar to a smaller id's goes."""
+    found = [(i, plain_shingles(t)) for i, t in sorted(data)]
+    return {i for n, (i, a) in enumerate(found) if all(len(a & b) < least * len(a | b) for _, b in found[:n])}
+
+
+def test_wide_fingerprint_against_plain():
+    found = near.shingles(prose(3, 9000))
+    for part in (found[:1], found[:300], found):
+        counts = np.zeros(near.WIDTH, int)
+        for f in part.tolist():
+            for w in range(near.WORDS):
+                x = (f ^ int(near._MASKS[w])) * int(near._FACTORS[0, w]) % 2**64
+                x = (x ^ x >> 31) * int(near._FACTORS[1, w]) % 2**64
+                x ^= x >> 32
+                counts[64 * w : 64 * w + 64] += [x >> b & 1 for b in range(64)]
+        bits = np.unpackbits(near.wide_fingerprint(part).view(np.uint8), bitorder="little")
+        assert (bits == (2 * counts > len(part))).all()
+
+
+def test_near_copies_against_plain(spark):
+    """Hot groups of copies, texts that share much but not enough, short texts, one id on two texts."""
+    import random
+
+    r = random.Random(4)
+    base = [[f"w{r.randint(0, 3000)}" for _ in range(n)] for n in (60, 90, 200, 400)]
+    data = []
+    for n in range(300):
+        words = list(base[n % 4] if n % 3 else [f"v{r.randint(0, 3000)}" for _ in range(80)])
+        for _ in range(r.choice([0, 1, 1, 2, 12, 30])):
+            words[r.randrange(len(words))] = f"x{r.randint(0, 10**6)}"
+        data.append((n, " ".join(words)))
+    data += [(1000, "one two"), (1001, "One  two"), (1002, "one two three"), (1003, ""), (1004, None), (1005, " \n")]
+    docs = documents(spark, [(i, t, None, None, None) for i, t in data])
+    by = {i: plain_shingles(t) for i, t in data}
+    for dealt in (with_clashes(docs).repartition(6), docs.coalesce(1)):
+        kept = {x.doc_id for x in near.drop_near_copies(dealt).collect()}
+        similar = {(i, j) for i in by for j in by if j < i and len(by[i] & by[j]) >= 0.8 * len(by[i] | by[j])}
+        assert not [p for p in similar if p[0] in kept and p[1] in kept]
+        assert set(by) - kept <= {i for i, _ in similar}
+        assert {1000, 1002, 1003} == kept & set(range(1000, 1010)) and len(kept) < 250
+    twice = documents(spark, [(7, base[0][0] + " other text of five words", "en", "a", 1), (7, " ".join(base[1]), "en", "b", 2), (9, " ".join(base[1]) + " more", "en", "b", 2)])
+    assert sorted((x.doc_id, x.source) for x in near.drop_near_copies(twice).collect()) == [(7, "a"), (7, "b")]
+    assert near.drop_near_copies(documents(spark, [])).count() == 0
+
+
+def test_shards_give_a_follower_few_pairs():
+    """A hot shard is no all-pairs table, and each of its rows is led by one within the radius."""
+    r = np.random.default_rng(2)
+    centre = r.integers(0, 1 << 62, near.WORDS)
+    rows = np.zeros((3000, 4 + near.WORDS), np.int64)
+    rows[:, 1] = np.arange(3000)
+    rows[:, 3] = 100
+    rows[:, 4:] = centre ^ (np.int64(1) << r.integers(0, 62, (3000, near.WORDS)))
+    assert near._followers(rows, 40, 0.8) == [(n, 0) for n in range(1, 3000)]
+    small = rows[: near.SCREEN]
+    small[::2, 4:] = r.integers(0, 1 << 62, (len(small[::2]), near.WORDS))
+    assert near._followers(small, 40, 0.8) == [(n, 1) for n in range(3, len(small), 2)]
+
+
 def test_repeated_and_null_ids_share_components(spark):
     got = simhash.near_groups(documents(spark))
     assert got.count() == documents(spark).count()

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.helpers import documents, prose, with_clashes
-from tests.llm.test_operators import plain_components, plain_exact, spoken
+from tests.llm.test_operators import plain_exact, plain_near, spoken
 from tomeloom.llm import mixing
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -22,7 +22,7 @@ def test_run_does_what_its_stages_do(spark, tmp_path):
     rows = [r for r in data if r[0] not in (400, 401)]
     kept = {keep for _, keep, *_ in plain_exact([r[:2] for r in rows])}
     rows = [r for r in rows if r[0] in kept]
-    kept = {c for *_, c in plain_components([(r[0], r[1]) for r in rows])}
+    kept = plain_near([(r[0], r[1]) for r in rows])
     docs = documents(spark, data)
     for name in ("language", "exact", "near"):
         docs = STAGES[name](spark, docs, "")

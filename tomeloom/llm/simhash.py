@@ -105,9 +105,10 @@ class BKTree:
             if d <= radius:
                 found.append(at)
             edges = self.children[at]
-            for e in range(d - radius, d + radius + 1):
-                if (child := edges.get(e)) is not None:
-                    stack.append(child)
+            if len(edges) <= 2 * radius:
+                stack += [child for e, child in edges.items() if abs(e - d) <= radius]
+            else:
+                stack += [child for e in range(d - radius, d + radius + 1) if (child := edges.get(e)) is not None]
         return found
 
 
@@ -213,12 +214,3 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lookup = known.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     out = two_hop_join(base, lookup, "run", ["fp"])
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest id of each component, all columns unchanged.
-
-    Rows without an id stand for nothing that could be kept, and go.
-    """
-    kept = near_groups(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    return docs.select(F.struct("*").alias("doc")).join(kept, F.col(f"doc.{id_col}") == F.col("_id"), "left_semi").select("doc.*")
