@@ -50,8 +50,10 @@ def targets(sources: DataFrame, weights: Sequence[float], cap: float) -> DataFra
     return rows.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: id, size, source_size, target, taken, epochs, cut.
+def mix(
+    docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", digest: Column | None = None
+) -> DataFrame:
+    """One row per input row: id, size, source_size, target, taken, epochs, cut (and digest, if given).
 
     ``taken = epochs * size + cut``: that many complete copies, and the first ``cut`` words
     of one more (``cut = size`` for a document selected whole).
@@ -63,9 +65,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0,
       ordered in one task, while documents never are.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text.alias("t"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), (F.lit(None).cast("long") if digest is None else digest).alias("digest"), text.alias("t"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
     key = -F.log(uniform(F.col("id"))) / quality_weight(F.col("t"), F.col("size"))
-    base = written(base.select("id", "source", "size", key.alias("key"), F.monotonically_increasing_id().alias("row")), "sizes")
+    base = written(base.select("id", "digest", "source", "size", key.alias("key"), F.monotonically_increasing_id().alias("row")), "sizes")
     sources = written(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
     # buckets: a power of two that leaves some thousand rows of the largest source in each
     most = sources.agg(F.max("n")).first()[0] or 0
@@ -93,23 +95,28 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0,
     return out.select(
         F.col("id").alias(id_col), "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.col("cut")).alias("taken"), "epochs", F.col("cut").cast("long").alias("cut"),
+        *([] if digest is None else ["digest"]),
     )
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as the mix takes them: a row for each complete copy, and the first words of a cut one.
 
-    Columns stay; n_chars, where there is one, follows the text.  Rows that repeat an id are
-    taken for equal.
+    * columns stay; n_chars, where there is one, follows the text;
+    * rows with one id and different contents are taken each for itself; copies planned for
+      rows that are equal in all columns are made of one of them;
+    * null and empty texts have no words to take and go; null sources and ids stay what they are.
     """
+    # what tells rows of one id apart; maps have no digest
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
     part = F.when(F.col("cut") > 0, F.array("cut")).otherwise(F.array().cast("array<bigint>"))
-    plan = mix(docs, weights, cap, id_col, text_col, source_col).filter("taken > 0")
-    plan = plan.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.concat(F.array_repeat("size", F.col("epochs").cast("int")), part).alias("_copies"))
-    plan = plan.groupBy("_id", "_size").agg(F.flatten(F.collect_list("_copies")).alias("_copies"))
-    # rows that repeat an id have all their copies made of one of them
-    repeated = docs.groupBy(id_col).count().filter("count > 1").limit(1).count()
-    rows = (docs.dropDuplicates([id_col]) if repeated else docs).select(F.struct("*").alias("doc"))
-    rows = rows.join(plan, F.col(f"doc.{id_col}").eqNullSafe(F.col("_id")), "inner").withColumn("words", F.explode("_copies"))
+    plan = mix(docs, weights, cap, id_col, text_col, source_col, whole).filter("taken > 0")
+    plan = plan.select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"), F.col("size").alias("_size"), F.concat(F.array_repeat("size", F.col("epochs").cast("int")), part).alias("_copies"))
+    plan = written(plan.groupBy("_id", "_digest", "_size").agg(F.flatten(F.collect_list("_copies")).alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), whole.alias("digest"))
+    if plan.filter("_rows > 1").limit(1).count():
+        rows = rows.dropDuplicates(["id", "digest"])
+    rows = rows.join(plan, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "inner").withColumn("words", F.explode("_copies"))
     text = F.col(f"doc.{text_col}")
     first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("words").cast("int")), "")
     rows = rows.withColumn("text", F.when(F.col("words") < F.col("_size"), first).otherwise(text))

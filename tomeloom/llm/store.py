@@ -64,7 +64,8 @@ def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
 
     The table is broadcast only if it counts at most BROADCAST_ROWS rows.  Beyond that
     the join shuffles, and each key is dealt over ``salts`` tasks, so that a key holding a
-    third of big's rows does not meet in one task.
+    third of big's rows does not meet in one task; ``salts=1`` is for keys that hold few rows
+    each, as those of a single document do.
     """
     small = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
     on: Column = F.lit(True)
@@ -73,6 +74,8 @@ def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     drop = [f"_k{i}" for i in range(len(keys))]
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how).drop(*drop)
+    if salts == 1:
+        return big.join(small, on, how).drop(*drop)
     big = big.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in big.dtypes if t in ("bigint", "int")]), F.lit(salts)))
     small = small.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.join(small, on & (F.col("_salt") == F.col("_salt2")), how).drop("_salt", "_salt2", *drop)
