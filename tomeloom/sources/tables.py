@@ -1,4 +1,4 @@
-"""Tables written between rounds of an iterative operator, in the session's shared folder."""
+"""Tables written between steps of an operator, in the session's shared folder."""
 
 from __future__ import annotations
 
@@ -13,19 +13,29 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this process only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a folder of this process only where that is unset and the master is local."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     app = spark.sparkContext.applicationId
-    if not named and app not in _own:
+    if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tomeloom-")
-    return named or _own[app]
+    return _own[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table, which cuts its lineage and survives lost executors."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, removed when the driver process ends."""
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table: cuts lineage, fixes generated ids, survives lost executors."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
