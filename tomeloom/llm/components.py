@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeloom.llm.arrow import Sink
-from tomeloom.llm.store import written
+from tomeloom.llm.store import small_join, written
 
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 #: Links that a task joins up at a time.
@@ -49,6 +49,19 @@ def _joined_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+#: Neighbours from which a node's links are dealt over many tasks.
+HUB = 100_000
+
+
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows with m of least (u, m, n) joined on u; no hub's links meet in one task."""
+    hubs = written(least.filter(F.col("n") > HUB), "hubs")
+    if not hubs.limit(1).count():
+        return rows.join(least.drop("n"), "u")
+    dealt = small_join(rows, hubs.drop("n"), ["u"], "left")
+    return dealt.filter("m is not null").unionByName(dealt.filter("m is null").drop("m").join(least.drop("n"), "u").select("u", "v", "m"))
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -66,11 +79,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         # large star: a node's larger neighbours move to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = _with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: a node and its smaller neighbours move to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        large = written(large, "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = _with_least(large, least).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = written(small.filter("u <> v").distinct(), "edges")
         after = _mark(edges)
         if after == before:

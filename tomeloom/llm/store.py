@@ -1,68 +1,27 @@
-"""Tables written between the steps of an operator, and joins that survive a hot key.
+"""Joins that survive a hot key, and the tables that operators write between their steps.
 
 Intermediate tables go to the folder that the session names in ``spark.checkpoint.dir``
 (shared by the driver and all executors), so a lost executor costs a re-read, never a
-recomputation of Python work.  Only where that setting is absent, as in tests, is a
-folder of this process used.
+recomputation of Python work.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-_written: list[tuple[SparkSession, str]] = []
+from tomeloom.sources.tables import fresh_path, written
+
+__all__ = ["fresh_path", "small_join", "two_hop_join", "written"]
 
 #: Rows up to which a side of a join may be broadcast (checked by counting a written table).
 BROADCAST_ROWS = 50_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="tomeloom-")
-    return _own[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver process ends."""
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, fixes generated ids."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may be gone: the folder then falls to whoever owns it
-            return
-
-
-def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = 64) -> DataFrame:
+def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = 64, most: int = BROADCAST_ROWS) -> DataFrame:
     """big joined to a written table on null-safe keys.
 
-    The table is broadcast only if it counts at most BROADCAST_ROWS rows.  Beyond that
+    The table is broadcast only if it counts at most ``most`` rows.  Beyond that
     the join shuffles, and each key is dealt over ``salts`` tasks, so that a key holding a
     third of big's rows does not meet in one task; ``salts=1`` is for keys that hold few rows
     each, as those of a single document do.
@@ -72,7 +31,7 @@ def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     for i, k in enumerate(keys):
         on = on & big[k].eqNullSafe(F.col(f"_k{i}"))
     drop = [f"_k{i}" for i in range(len(keys))]
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if small.limit(most + 1).count() <= most:
         return big.join(F.broadcast(small), on, how).drop(*drop)
     if salts == 1:
         return big.join(small, on, how).drop(*drop)
