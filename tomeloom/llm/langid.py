@@ -4,8 +4,13 @@ Texts become letters (lower case) and single spaces.  For each language a 4-gram
 interpolated Kneser-Ney smoothing is estimated; all of them are stored as sorted arrays of
 64-bit keys (a perfect hash of up to four 16-bit characters) beside a matrix of log
 probabilities with a column for each language, so one binary search scores a character in
-every language.  The language of least cross-entropy per character wins; a text is rejected
-where even that is far above what held-back training texts of the language have.
+every language.  (Characters beyond 16 bits are one symbol.)  The language of least
+cross-entropy per character wins.
+
+Rejection is calibrated on held-back training texts: a language's excess is a text's entropy
+above the language's mean, in units of the spread that texts of its length have; the mean
+of what the highest twentieth (ten at least) have beyond the rest, taken for an exponential
+tail, gives the excess that a share of ``false_rejects`` of the language's own texts passes.
 
 The classifier is fitted on a bounded sample of the labelled rows (``per_lang`` rows a
 language, chosen by a hash of the id), of which it keeps every language and 4-gram; it scores
@@ -27,6 +32,8 @@ from tomeloom.llm.store import small_join, written
 ORDER = 4
 #: Characters that a model that knows nothing takes for equally likely.
 ALPHABET = 4096.0
+#: Held-back texts that a language needs for a limit of its own.
+TAIL = 20
 _SPACE = 32
 _letters: list[np.ndarray] = []
 
@@ -94,7 +101,8 @@ class Model:
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
         self.mean = np.zeros(len(self.langs))
-        self.spread = np.ones(len(self.langs))
+        self.spread = np.ones((2, len(self.langs)))
+        self.limit = np.full(len(self.langs), np.inf)
         self.sharpness = 16.0
         if not self.langs:
             return
@@ -177,15 +185,30 @@ class Model:
         flush()
         return -out / np.maximum(sizes, 1)[:, None], sizes
 
-    def calibrate(self, labels: list[str], entropies: np.ndarray, sizes: np.ndarray) -> None:
-        """Usual cross-entropy of each language, and how sharply a lead in it tells languages apart."""
+    def excess(self, entropies: np.ndarray, sizes: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Entropy above the language's mean, over the spread of its texts of that length: a part
+        that all texts have, and one that falls with the square root of the length."""
+        spread = np.sqrt(self.spread[0][lang] + self.spread[1][lang] / np.maximum(sizes, 1))
+        return (entropies - self.mean[lang]) / spread
+
+    def calibrate(self, labels: list[str], entropies: np.ndarray, sizes: np.ndarray, false_rejects: float = 1e-4) -> None:
+        """Usual cross-entropy and limit of each language, and how sharply a lead tells languages apart."""
         known = np.array([self.langs.index(x) for x in labels])
         best = entropies.argmin(axis=1)
         for j in range(len(self.langs)):
-            own = entropies[(known == j) & (best == j) & (sizes >= 50), j]
-            own = own if len(own) else entropies[best == j, j]
-            if len(own):
-                self.mean[j], self.spread[j] = own.mean(), max(own.std(), 0.05)
+            mine = (known == j) & (best == j)
+            own, n = entropies[mine, j], np.maximum(sizes[mine], 1)
+            if len(own) < TAIL:
+                continue  # too few to know: nothing of this language is rejected
+            self.mean[j] = np.average(own, weights=n / (n + 100.0))
+            square = (own - self.mean[j]) ** 2
+            # least squares of a + b / n on the squared differences, neither below a floor
+            a, b = np.linalg.lstsq(np.stack([np.ones(len(n)), 1.0 / n], axis=1), square, rcond=None)[0]
+            self.spread[:, j] = max(a, 1e-4), max(b, 1e-2)
+            found = np.sort(self.excess(own, n, np.full(len(n), j)))
+            beyond = max(10, len(found) // 20)
+            start = found[-beyond - 1]
+            self.limit[j] = start + (found[-beyond:] - start).mean() * np.log(beyond / len(found) / false_rejects)
         lead = entropies - entropies.min(axis=1, keepdims=True)
         loss = []
         for t in (steps := 2.0 ** np.arange(0, 8)):
@@ -202,8 +225,8 @@ class Model:
         best = h.argmin(axis=1)
         least = h[np.arange(len(best)), best]
         score = 1.0 / np.exp(-self.sharpness * (h - least[:, None])).sum(axis=1)
-        limit = self.mean[best] + self.spread[best] * 8.0 * np.sqrt(1.0 + 50.0 / np.maximum(sizes, 1)) + 0.5
-        return [("und", 0.0, None, True) if not n else (self.langs[b], float(s), float(e), bool(e > m)) for b, s, e, m, n in zip(best.tolist(), score, least, limit, sizes, strict=True)]
+        over = self.excess(least, sizes, best) > self.limit[best]
+        return [("und", 0.0, None, True) if not n else (self.langs[b], float(s), float(e), bool(r)) for b, s, e, r, n in zip(best.tolist(), score, least, over, sizes, strict=True)]
 
 
 def held_out(ident: Column) -> Column:
@@ -211,7 +234,7 @@ def held_out(ident: Column) -> Column:
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, per_lang: int = 4_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, per_lang: int = 4_000, false_rejects: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from labelled rows that are not held out: about ``per_lang`` rows a language.
 
     A fifth of the sample is kept back to calibrate scores and rejection.  Null labels and
@@ -234,7 +257,7 @@ def fit(docs: DataFrame, per_lang: int = 4_000, id_col: str = "doc_id", text_col
         back = sample.filter("back").select("lang", "t").mapInArrow(_scored(shared, len(model.langs)), "lang string, n long, h array<double>").toPandas()
         back = back[back["lang"].isin(model.langs) & (back["n"] > 0)]
         if len(back):
-            model.calibrate(back["lang"].tolist(), np.stack(back["h"].to_list()), back["n"].to_numpy())
+            model.calibrate(back["lang"].tolist(), np.stack(back["h"].to_list()), back["n"].to_numpy(), false_rejects)
     return model
 
 
