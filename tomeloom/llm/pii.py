@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeloom.llm.arrow import Sink, rows_of
+from tomeloom.llm.store import written
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -31,7 +32,7 @@ _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE = re.compile(r"(?<![0-9A-Za-z])[(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}+(?![0-9A-Za-z])")
-_SPELT = re.compile(r"[A-Za-z0-9._%+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]++)+", re.IGNORECASE)
+_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]++)+", re.IGNORECASE)
 _DIGIT = re.compile(r"[0-9]")
 #: Words before a number that tell its kind.
 _CUES = (("phone", re.compile(r"(?:tel|phone|call|fax|mobile)\W*$", re.IGNORECASE)), ("card", re.compile(r"(?:card|visa|payment)\W*$", re.IGNORECASE)), ("ip", re.compile(r"(?:ip|host|server|addr\w*)\W*$", re.IGNORECASE)))
@@ -230,27 +231,30 @@ def _examples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sink.end()
 
 
-def fit(docs: DataFrame, sample_docs: int = 5_000, most_nodes: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> Field:
+def fit(docs: DataFrame, sample_docs: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Weights by piecewise training on about ``sample_docs`` documents, drawn by a hash of the id.
 
     Labels are the patterns' own; what they leave is no personal data as far as training
-    goes, so that unlinked numbers stay out.  No examples, neutral weights.
+    goes, so that unlinked numbers stay out.  No examples, neutral weights.  Examples with equal
+    features (there are a few hundred kinds) come as counts, in one order on every run.
     """
     total = max(1, docs.count())
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("pii")), F.lit(1 << 30)) / float(1 << 30)
     sample = docs.filter(draw < min(1.0, sample_docs / total)).select(F.col(text_col).alias("t"))
-    rows = sample.mapInArrow(_examples, "features array<double>, kind long, next long").limit(most_nodes).toPandas()
+    seen = written(sample.mapInArrow(_examples, "features array<double>, kind long, next long").groupBy("features", "kind", "next").agg(F.count(F.lit(1)).alias("n")), "pii-examples")
+    examples = sorted(map(tuple, seen.groupBy("features", "kind").agg(F.sum("n")).collect()))
+    pairs = sorted(map(tuple, seen.filter("next >= 0").groupBy("kind", "next").agg(F.sum("n")).collect()))
     k = OTHER + 1
     node, transition = np.zeros((k, N_FEATURES)), np.zeros((k, k))
     node[OTHER, 0] = 3.0
-    if len(rows):
-        x, y = np.stack(rows["features"].to_list()), rows["kind"].to_numpy()
-        hot = np.eye(k)[y]
+    if examples:
+        x, y, n = (np.array(c, float) for c in zip(*examples, strict=True))
+        hot, n = np.eye(k)[y.astype(int)], (n / n.sum())[:, None]
         for _ in range(300):  # softmax regression with a ridge
-            node -= 1.0 * ((_softmax(x @ node.T) - hot).T @ x / len(x) + 1e-3 * node)
-        pairs = rows[rows["next"] >= 0]
+            node -= 1.0 * ((n * (_softmax(x @ node.T) - hot)).T @ x + 1e-3 * node)
         counts = np.ones((k, k))
-        np.add.at(counts, (pairs["kind"].to_numpy(), pairs["next"].to_numpy()), 1)
+        for a, b, seen_n in pairs:
+            counts[a, b] += seen_n
         joint = counts / counts.sum()
         transition = np.clip(np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))), -1.0, 1.0)
     return Field(node, transition)
