@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeloom.llm.arrow import Sink, rows_of
-from tomeloom.llm.store import fresh_path, two_hop_join, written
+from tomeloom.llm.store import fresh_path, small_join, two_hop_join, written
 
 #: Between two records' distinctive parts; "/" occurs once in it, so no partial match overlaps.
 SEPARATOR = "/1.1\r\nWARC-Type: "
@@ -60,7 +60,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(value): every record of the archives as text, without its last line feed."""
     body = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("b")).withColumn("digest", F.sha1("b"))
-    rows = rows.join(revisits(pages, id_col, html_col), ["id", "digest"], "left")
+    # pages' texts meet a table of a few numbers a revisit, and move only if that is a large one
+    rows = small_join(rows, written(revisits(pages, id_col, html_col), "revisits"), ["id", "digest"], "left", salts=1, most=400_000)
     rows = rows.withColumn("bytes", F.octet_length("b")).withColumn("copy", F.monotonically_increasing_id())
     rows = rows.withColumn("urn", _urn(F.col("id"), F.col("digest"))).withColumn("revisit", F.col("refers_to").isNotNull())
     rows = rows.withColumn("chunks", F.when(F.col("revisit"), F.array(F.lit(""))).otherwise(_chunks(F.col("b"), chunk_chars)))
