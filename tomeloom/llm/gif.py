@@ -254,30 +254,42 @@ def decode(data: bytes) -> tuple[int, int, Iterator[Frame]]:
     return number(6), number(8), images()
 
 
-def frames(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start in hundredths of a second, delay, canvas as height x width x RGBA) of each frame."""
-    width, height, images = decode(data)
+def composed(width: int, height: int, images: Iterable[Frame]) -> Iterator[tuple[int, Frame, np.ndarray]]:
+    """(start in hundredths of a second, image, canvas as height x width x RGBA as it is shown).
+
+    The canvas is the player's own: it changes as soon as the next image is asked for.
+    """
     canvas = np.zeros((height, width, 4), np.uint8)
     start = 0
     for f in images:
         before = canvas.copy() if f.disposal == 3 else None
         area = canvas[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1]]
         indices = f.indices[: area.shape[0], : area.shape[1]]
-        shown = indices != f.transparent
-        area[..., :3][shown] = f.palette[indices][shown]
-        area[..., 3][shown] = 255
-        yield start, f.delay, canvas.copy()
+        colours = np.concatenate([f.palette, np.full((256, 1), 255, np.uint8)], axis=1)
+        if 0 <= f.transparent and (shown := indices != f.transparent).sum() < indices.size:
+            area[shown] = colours[indices[shown]]
+        else:
+            area[...] = colours.view(np.uint32).ravel()[indices].view(np.uint8).reshape(*indices.shape, 4)
+        yield start, f, canvas
         start += f.delay
         if f.disposal == 2:
             area[...] = 0
         elif before is not None:
-            canvas = before
+            canvas[...] = before
+
+
+def frames(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start in hundredths of a second, delay, canvas as height x width x RGBA) of each frame."""
+    for start, f, canvas in composed(*decode(data)):
+        yield start, f.delay, canvas.copy()
 
 
 def colour_histogram(pixels: np.ndarray, bits: int = 2) -> np.ndarray:
     """Counts of shown pixels by the leading bits of red, green and blue."""
-    shown = pixels[pixels[..., 3] > 0][:, :3].astype(int) >> (8 - bits)
-    return np.bincount((shown[:, 0] << 2 * bits) | (shown[:, 1] << bits) | shown[:, 2], minlength=1 << 3 * bits)
+    shift = np.uint8(8 - bits)
+    bins = ((pixels[..., 0] >> shift).astype(np.uint16) << 2 * bits) | ((pixels[..., 1] >> shift).astype(np.uint16) << bits) | (pixels[..., 2] >> shift)
+    bins[pixels[..., 3] == 0] = 1 << 3 * bits
+    return np.bincount(bins.ravel(), minlength=(1 << 3 * bits) + 1)[: 1 << 3 * bits]
 
 
 # --- columns -------------------------------------------------------------------------------
@@ -332,36 +344,42 @@ def timed_frames(media: DataFrame, id_col: str = "id", media_col: str = "media")
     )
 
 
-_DIGESTS = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_TIMED = pa.struct([("start_cs", pa.int64()), ("delay_cs", pa.int64()), ("histogram", pa.list_(pa.int64()))])
+_DIGESTS = pa.schema([
+    ("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
+    ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("frames", pa.list_(_TIMED)),
+])
 
 
 def _digested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Samples read back frame by frame: never more than a frame and a text's media in memory."""
     sink = Sink(_DIGESTS)
     for ident, n_bytes, media in rows_of(batches, 16):
-        whole, size, tail, n, start = hashlib.sha256(), 0, b"", 0, 0
-        levels = np.zeros(256, np.int64)
-        for f in decode(media)[2]:
+        whole, size, tail, timed = hashlib.sha256(), 0, b"", []
+        shown = np.zeros(64, np.int64)
+        for start, f, canvas in composed(*decode(media)):
             samples = f.indices.tobytes()
             whole.update(samples)
             size += len(samples)
             tail = (tail + samples[-32:])[-32:]
-            # grey levels by way of the palette: the histogram of what a player shows
-            levels += np.bincount(f.palette[:, 1], np.bincount(f.indices.ravel(), minlength=256), 256).astype(np.int64)
-            n += 1
-            start += f.delay
-        feature = f"frames={n};cs={start};grey16=" + ",".join(map(str, levels.reshape(16, 16).sum(axis=1).tolist()))
-        yield from sink.add((ident, n_bytes, size, whole.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature), 512)
+            colours = colour_histogram(canvas)
+            shown += colours * max(1, f.delay)
+            timed.append((start, f.delay, colours.tolist()))
+        feature = f"frames={len(timed)};cs={sum(t[1] for t in timed)};rgb64=" + ",".join(f"{c}:{n}" for c, n in enumerate(shown.tolist()) if n)
+        row = (ident, n_bytes, size, whole.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, [dict(zip(("start_cs", "delay_cs", "histogram"), t, strict=True)) for t in timed])
+        yield from sink.add(row, 512 * (1 + len(timed)))
     yield from sink.end()
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text stored as a GIF in a written table, read back, and described.
+    """Each text stored as a GIF in a written table, read back, played, and described.
 
     id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of what the decoder returns),
-    media_bytes, media_sha256, feature (frames, duration, 16-bin grey histogram).  Null and
-    empty texts, repeats, extra columns and empty tables: as payload_media.
+    media_bytes, media_sha256, feature (frames, duration, hundredths of a second that pixels
+    of each colour bin are shown), frames (start, delay and colour histogram of each, as the
+    canvas stands after palette, transparency and disposal).  Null and empty texts, repeats,
+    extra columns and empty tables: as payload_media.
     """
     stored = written(payload_media(docs, id_col, text_col), "media")
-    out = stored.mapInArrow(_digested, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return out.withColumnRenamed("id", id_col)
+    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<start_cs:long,delay_cs:long,histogram:array<long>>>"
+    return stored.mapInArrow(_digested, schema).withColumnRenamed("id", id_col)
