@@ -49,7 +49,7 @@ def op7_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(_read(spark, sf_dir, "pages"))
+    return urls.judge(_read(spark, sf_dir, "pages"), blocked=urls.blocklist())
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +127,15 @@ c AS (SELECT page_id, coalesce(translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'a
              coalesce(substr(hp, length(host0) + 1), '') AS path FROM b),
 rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 fit AS (SELECT c.page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
-        FROM c JOIN rules ON (c.host = rhost OR ends_with(c.host, '.' || rhost)) AND starts_with(c.path, rpath) GROUP BY c.page_id)
-SELECT c.page_id, c.host, c.path, fit.rule, coalesce(fit.verdict, CASE WHEN c.host = '' THEN 'block' ELSE 'allow' END) AS verdict
-FROM c LEFT JOIN fit ON c.page_id = fit.page_id
+        FROM c JOIN rules ON (c.host = rhost OR ends_with(c.host, '.' || rhost)) AND starts_with(c.path, rpath) GROUP BY c.page_id),
+listed(entry) AS (SELECT 'ads' || i || '.example.com/' FROM range(200000) t(i)
+  UNION ALL SELECT 'example.net/' || lang || '/' || i FROM range(1000, 10000) t(i), (VALUES ('de'), ('en'), ('es'), ('fr')) l(lang) WHERE i % 11 = 0),
+asked AS (
+  SELECT page_id, array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') || substr(path, 1, 1) AS entry FROM c
+  UNION ALL SELECT page_id, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') || substr(path, 1, 8) FROM c),
+hit AS (SELECT DISTINCT page_id FROM asked JOIN listed USING (entry))
+SELECT c.page_id, c.host, c.path, fit.rule, coalesce(fit.verdict, CASE WHEN c.host = '' OR hit.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN fit ON c.page_id = fit.page_id LEFT JOIN hit ON c.page_id = hit.page_id
 """
 
 ORACLE_SQL: dict[str, str] = {

@@ -4,6 +4,9 @@ Entries are strings host + path.  Their 64-bit xxHash keys lie sorted in one arr
 strings beside it; both are memory-mapped by the workers.  A URL's candidates (its host and
 parent hosts, each with the path prefixes of lengths that entries have) are probed together
 by binary search, and a hit counts only if the stored string is the candidate itself.
+
+A table above MOST_BYTES is cut into ranges of keys.  Each range is a table of its own, sent
+by itself; pages stream through one after the other, and the longest rule of any wins.
 """
 
 from __future__ import annotations
@@ -20,8 +23,15 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, path): a rule fits its host and all subdomains below paths that start so.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: The bytes a table may have to be sent to every executor.
-MOST_BYTES = 256 << 20
+#: The bytes that a table may have to be sent to every executor.
+MOST_BYTES = 64 << 20
+
+
+def blocklist(hosts: int = 200_000, pages: int = 10_000) -> list[str]:
+    """The query's list, by rule: that many advertising hosts, and of the sections of example.net
+    whose names are numbers from 1000 below ``pages`` every eleventh, in four languages."""
+    out = [f"ads{k}.example.com/" for k in range(hosts)]
+    return out + [f"example.net/{lang}/{k}" for lang in ("de", "en", "es", "fr") for k in range(1000, pages) if k % 11 == 0]
 
 
 def _key(entry: str) -> int:
@@ -45,18 +55,27 @@ class DigestTable:
         self.found: list[int] | None = None
 
     @staticmethod
-    def built(entries: Sequence[tuple[str, int]], most_bytes: int = MOST_BYTES) -> bytes:
-        """The block for (string, value) entries; of a string given twice the last value holds."""
+    def built(entries: Sequence[tuple[str, int]], most_bytes: int = MOST_BYTES) -> list[bytes]:
+        """A block for each range of keys of the (string, value) entries, none above most_bytes but
+        for a single entry; of a string given twice the last value holds."""
         rows = sorted((_key(e), e.encode("utf-8", "surrogatepass"), v) for e, v in dict(entries).items())
+        out, start, size = [], 0, 0
+        for i, (_, e, _) in enumerate(rows):
+            size += 17 + len(e)
+            # equal keys stay in one block
+            if size + 24 > most_bytes and i > start and rows[i][0] != rows[i - 1][0]:
+                out.append(DigestTable._block(rows[start:i]))
+                start, size = i, 17 + len(e)
+        return [*out, DigestTable._block(rows[start:])]
+
+    @staticmethod
+    def _block(rows: list[tuple[int, bytes, int]]) -> bytes:
         offsets = np.cumsum([0, *[len(e) for _, e, _ in rows]])
         labels = max((e.partition(b"/")[0].count(b".") + 1 for _, e, _ in rows), default=0)
-        block = b"".join([
+        return b"".join([
             np.array([len(rows), labels], "<i8").tobytes(), np.array([k for k, _, _ in rows], "<u8").tobytes(), offsets.astype("<i8").tobytes(),
             bytes(v for _, _, v in rows), *[e for _, e, _ in rows],
         ])
-        if len(block) > most_bytes:
-            raise ValueError(f"the table has {len(block)} bytes; most_bytes is {most_bytes}")
-        return block
 
     @classmethod
     def mapped(cls, block: bytes) -> DigestTable:
@@ -83,6 +102,8 @@ class DigestTable:
         if not len(self.keys) or not candidates:
             return out
         keys = np.fromiter(map(_key, candidates), np.uint64, len(candidates))
+        if keys.max() < self.keys[0] or keys.min() > self.keys[-1]:
+            return out
         at = np.searchsorted(self.keys, keys)
         for i in np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == keys)).tolist():
             j = int(at[i])
@@ -116,54 +137,75 @@ def candidates(host: str, path: str, labels: int, lengths: Sequence[int]) -> Ite
                 yield name + path[:size]
 
 
-_SCHEMA = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
+_SCHEMA = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("listed", pa.bool_())])
 _tables: dict[int, DigestTable] = {}
 
 
-def _mapped_once(block: bytes) -> DigestTable:
-    """The last table that this worker process was given stays mapped."""
-    key = xxhash.xxh3_64_intdigest(block)
+def _mapped_once(block: bytes, place: int) -> DigestTable:
+    """The tables that this worker process was last given stay mapped."""
+    key = xxhash.xxh3_64_intdigest(block, place)
     if key not in _tables:
-        _tables.clear()
+        if not place:
+            _tables.clear()
         _tables[key] = DigestTable.mapped(block)
     return _tables[key]
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, blocked: Sequence[str] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per page: id, host, path, rule (host + path of the longest that fits), verdict.
-
-    Where no rule fits, the verdict is block for a URL without a host and for one that an
-    entry of ``blocked`` (host + path prefix) fits, else allow.
-
-    * null and malformed urls have empty host and path; whole urls of any length are judged;
-    * equal urls, equal verdicts; repeated rows stay; an empty table gives none.
-    """
-    names = {host + path: verdict for verdict, host, path in rules}
-    both = {**{e: 2 for e in blocked}, **{e: int(v == "allow") for e, v in names.items()}}
-    shared = pages.sparkSession.sparkContext.broadcast(DigestTable.built(list(both.items())))
+def _probed(shared, place: int):
+    """(id, host, path, rule, listed) rows, each with what the table adds to its rule and listed."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _mapped_once(shared.value)
+        table = _mapped_once(shared.value, place)
         lengths = table.lengths()
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                split = [split_url(u) for u in part.column(1).to_pylist()]
+                hosts, paths, rule, listed = (part.column(c).to_pylist() for c in range(1, 5))
                 asked, owner = [], []
-                for i, (host, path) in enumerate(split):
+                for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
                     for c in candidates(host, path, table.labels, lengths) if host else ():
                         asked.append(c)
                         owner.append(i)
                 places = table.probe(asked)
-                rule, listed = [None] * len(split), [False] * len(split)
                 for k in np.flatnonzero(places >= 0).tolist():
                     i, value = owner[k], int(table.values[places[k]])
                     if value == 2:
                         listed[i] = True
                     elif rule[i] is None or len(asked[k]) > len(rule[i]):
                         rule[i] = asked[k]
-                verdict = [names[r] if r is not None else "block" if x or not h else "allow" for r, x, (h, _) in zip(rule, listed, split, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], schema=_SCHEMA)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(rule, pa.string()), pa.array(listed, pa.bool_())], schema=_SCHEMA)
+
+    return run
+
+
+def _split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 2048):
+            part = batch.slice(start, 2048)
+            split = [split_url(u) for u in part.column(1).to_pylist()]
+            n = len(split)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), pa.nulls(n, pa.string()), pa.array([False] * n)], schema=_SCHEMA)
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, blocked: Sequence[str] = (), most_bytes: int = MOST_BYTES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """One row per page: id, host, path, rule (host + path of the longest that fits), verdict.
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("u"))
-    return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string").withColumnRenamed("page_id", id_col)
+    Where no rule fits, the verdict is block for a URL without a host and for one that an
+    entry of ``blocked`` (host + path prefix, of that host and its subdomains) fits, else allow.
+
+    * null and malformed urls have empty host and path; whole urls of any length are judged;
+    * equal urls, equal verdicts; repeated rows stay; an empty table gives none.
+    """
+    names = {host + path: verdict for verdict, host, path in rules}
+    entries = {**dict.fromkeys(blocked, 2), **{e: int(v == "allow") for e, v in names.items()}}
+    schema = "page_id long, host string, path string, rule string, listed boolean"
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("u")).mapInArrow(_split, schema)
+    # an entry of both kinds is told by its verdict; only lists that clash need a table of their own
+    both = [e for e in blocked if e in names]
+    blocks = DigestTable.built(list(entries.items()), most_bytes) + (DigestTable.built([(e, 2) for e in both], most_bytes) if both else [])
+    for place, block in enumerate(blocks):
+        rows = rows.mapInArrow(_probed(pages.sparkSession.sparkContext.broadcast(block), place), schema)
+    allowed = F.col("rule").isin([e for e, v in names.items() if v == "allow"])
+    own = F.when(allowed, "allow").otherwise("block")
+    other = F.when(F.col("listed") | (F.col("host") == ""), "block").otherwise("allow")
+    return rows.select(F.col("page_id").alias(id_col), "host", "path", "rule", F.when(F.col("rule").isNotNull(), own).otherwise(other).alias("verdict"))
