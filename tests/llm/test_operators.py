@@ -256,6 +256,23 @@ def test_mixed_documents_have_the_words_taken(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
 
 
+def test_mixture_takes_each_text_of_one_id(spark):
+    data = [(1, "a b c. d e f", "en", "s", 1), (1, "x y", "en", "s", 1), (1, "x y", "de", "s", 1), (2, "p q r", "en", "s", 1), (None, "n n n n", "en", "s", 1)]
+    docs = documents(spark, data)
+    out = mixing.mixed_documents(with_clashes(docs))
+    words = defaultdict(int)
+    for r in out.collect():
+        words[r.doc_id, r.lang, r.text.split()[0]] += len(r.text.split())
+    taken = defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id] += r.taken
+    by_id = defaultdict(int)
+    for (i, *_), n in words.items():
+        by_id[i] += n
+    assert by_id == taken  # one source: each row once
+    assert words == {(1, "en", "a"): 6, (1, "en", "x"): 2, (1, "de", "x"): 2, (2, "en", "p"): 3, (None, "en", "n"): 4}
+
+
 # --- 1 packing -------------------------------------------------------------------------------
 
 
@@ -367,6 +384,44 @@ def test_language_models_keep_all_of_the_sample(spark):
     assert len(langid.fit(many).langs) > 1000
 
 
+def plain_kneser_ney(texts):
+    """log p(next | context of up to three), straight from the definition."""
+    order = langid.ORDER
+    counts = [None] + [defaultdict(float) for _ in range(order)]
+    for t in texts:
+        c = langid.characters(t).tolist()
+        for i in range(order - 1, len(c)):
+            counts[order][tuple(c[i - order + 1 : i + 1])] += 1
+    for k in range(order - 1, 0, -1):
+        for gram in counts[k + 1]:
+            counts[k][gram[1:]] += 1
+
+    def p(context, char):
+        if len(context) < 0:
+            return 1 / langid.ALPHABET
+        k = len(context) + 1
+        lower = 1 / langid.ALPHABET if k == 1 else p(context[1:], char)
+        mine = {g: n for g, n in counts[k].items() if g[:-1] == context}
+        if not mine:
+            return lower
+        ones, twos = (sum(n == x for n in counts[k].values()) for x in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        total = sum(mine.values())
+        return max(mine.get((*context, char), 0) - d, 0) / total + d * len(mine) / total * lower
+
+    return p
+
+
+def test_kneser_ney_against_plain():
+    texts = ["banana bandana cabana", "the cat in the hat", "ban the bat"]
+    keys, n = np.unique(np.concatenate([langid.grams(langid.characters(t)) for t in texts]), return_counts=True)
+    model, p = langid.Model({"x": (keys, n)}), plain_kneser_ney(texts)
+    for asked in ("banana hat", "zebra", "cabin", "the the"):
+        c = langid.characters(asked).tolist()
+        want = [np.log(p(tuple(c[i - 3 : i]), c[i])) for i in range(3, len(c))]
+        assert model.log_probabilities(langid.grams(langid.characters(asked)))[:, 0] == pytest.approx(want, abs=1e-4)
+
+
 def test_kneser_ney_sums_to_one():
     chars = langid.characters("banana bandana cabana")
     keys, n = np.unique(langid.grams(chars), return_counts=True)
@@ -419,6 +474,43 @@ def test_skip_chain_carries_labels(spark):
     assert pii.personal_data(documents(spark, [])).count() == 0
 
 
+def test_long_words_beside_a_spelt_address():
+    import time
+
+    start = time.monotonic()
+    text = "A" * 80_000 + " me (at) " + "B" * 80_000 + " me(at)example(dot)org"
+    _, found = pii.nodes(text)
+    assert time.monotonic() - start < 1 and [text[x.start : x.end] for x in found] == ["me(at)example(dot)org"]
+
+
+def test_marginals_are_exact_on_chains():
+    """Sum-product on a graph without loops gives what summing over all labellings gives."""
+    import itertools
+
+    r = np.random.default_rng(3)
+    k = pii.OTHER + 1
+    field = pii.Field(r.normal(size=(k, pii.N_FEATURES)), r.normal(size=(k, k)), skip=2.0, doubt=50.0)
+    at = [(0, "1111111"), (20, "2222222"), (200, "3333333"), (400, "1111111"), (600, "9993333333")]
+    found = [pii.Node(a, a + 10, c, r.normal(size=pii.N_FEATURES), None) for a, c in at]
+    links = pii._similar(found)
+    assert links == [(0, 3), (2, 4)]
+    unary = np.stack([x.features for x in found]) @ field.node.T
+    total = np.zeros((5, k))
+    for labels in itertools.product(range(k), repeat=5):
+        e = sum(unary[i, y] for i, y in enumerate(labels)) + field.transition[labels[0], labels[1]] + sum(2.0 * (labels[i] == labels[j]) for i, j in links)
+        for i, y in enumerate(labels):
+            total[i, y] += np.exp(e)
+    # nodes are near in the text only once: 0 and 1
+    assert field.marginals(found) == pytest.approx(total / total.sum(axis=1, keepdims=True), abs=2e-3)
+
+
+def test_added_spans_do_not_depend_on_the_deal(spark):
+    texts = [prose(i, 20) + f" Call +1 (877) 555-{1000 + i} now. " + prose(i + 50, 20) + f" again 877 555-{1000 + i} or 20{i} 1234 5{i}" for i in range(40)]
+    docs = documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    one = {r.doc_id: r.spans for r in pii.personal_data(docs.coalesce(1)).collect()}
+    assert one == {r.doc_id: r.spans for r in pii.personal_data(docs.repartition(7)).collect()}
+
+
 def test_one_mark_reaches_all_bare_repeats(spark):
     texts = [prose(i, 40) + f" Call +1 (877) 555-{1000 + i} now. " + prose(i + 500, 30) for i in range(60)]
     texts += [prose(i, 30) + f" order 20{i:02d} 1234 {i:02d}77 done" for i in range(60)]
@@ -561,10 +653,20 @@ def test_urls(spark):
 
 def test_digest_table_confirms_strings(monkeypatch):
     monkeypatch.setattr(urls, "_key", lambda e: 7)  # every entry collides
-    table = urls.DigestTable.mapped(urls.DigestTable.built([("a/x", 1), ("b/y", 0), ("c", 1)]))
+    (block,) = urls.DigestTable.built([("a/x", 1), ("b/y", 0), ("c", 1)], most_bytes=10)
+    table = urls.DigestTable.mapped(block)
     assert [table.text(i) if i >= 0 else None for i in table.probe(["b/y", "c", "d", "a/x"])] == ["b/y", "c", None, "a/x"]
-    with pytest.raises(ValueError):
-        urls.DigestTable.built([("a" * 100, 1)], most_bytes=10)
+
+
+def test_long_blocklists_are_cut_by_key(spark):
+    given = [f"http://h{n}.bad.net/x{n}/y" for n in range(300)] + ["http://com/de/1", "http://org/x"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(given)], "page_id long, url string")
+    listed = [f"h{n}.bad.net/x{n}" for n in range(0, 300, 3)] + ["org/"]
+    assert len(urls.DigestTable.built([(e, 2) for e in listed], 300)) > 10
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, blocked=listed, most_bytes=300).collect()}
+    assert got == {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, blocked=listed).collect()}
+    assert [got[n] for n in range(300)] == [(None, "allow" if n % 3 else "block") for n in range(300)]
+    assert got[300] == ("com/de/", "block") and got[301] == ("org/", "allow")
 
 
 # --- 9 spans ---------------------------------------------------------------------------------
@@ -593,6 +695,70 @@ def test_spans_remove_repeats_only(spark):
     assert spans.without_repeats(documents(spark, [])).count() == 0
 
 
+def plain_spans(data):
+    """Removed sentences of each document, by comparing all runs with all earlier ones."""
+    docs = sorted({(i, t) for i, t in data if i is not None and t is not None})
+    seen, out = {}, {}
+    order = sorted(docs, key=lambda d: (d[0], signed_xxhash64(d[1])))
+    for i, t in order:
+        units = spans.sentences(t)
+        covered = set()
+        for at in range(len(units)):
+            n = 0
+            while at + n < len(units) and (n < spans.SENTENCES or sum(len(u[2]) for u in units[at : at + n]) < spans.WORDS):
+                n += 1
+            run = units[at : at + n]
+            if n < spans.SENTENCES or sum(len(u[2]) for u in run) < spans.WORDS:
+                break
+            if seen.setdefault(tuple(w for u in run for w in u[2]), (i, t, at)) != (i, t, at):
+                covered |= set(range(at, at + n))
+        out[i, t] = len(covered)
+    return out
+
+
+def signed_xxhash64(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_spans_against_all_runs(spark):
+    import random
+
+    r = random.Random(6)
+    shared = [prose(9000 + k, 30 + 11 * k) for k in range(6)]
+    data = []
+    for i in range(80):
+        parts = [prose(100 + i, r.randint(5, 60))] + [r.choice(shared) for _ in range(r.randint(0, 2))] + [prose(400 + i, r.randint(5, 60))]
+        data.append((i, r.choice([" ", "\n"]).join(parts)))
+    data += [(5, shared[3] + " " + prose(1, 40)), (5, "One sentence."), (60, data[60][1]), (90, "\x1c a\u00a0b c. " * 12), (None, shared[0]), (91, None)]
+    docs = documents(spark, [(i, t, None, None, None) for i, t in data])
+    got = sorted((x.doc_id, x.removed) for x in spans.without_repeats(with_clashes(docs).repartition(5)).collect() if x.doc_id is not None and x.doc_id != 91)
+    want = plain_spans(data)
+    assert got == sorted((i, want[i, t]) for i, t in data if i is not None and t is not None)
+    assert sum(n > 0 for _, n in got) > 20
+
+
+@pytest.mark.parametrize("n", [51, 55, 60])
+def test_short_passages_in_the_middle_of_sentences(n):
+    """A passage of just over 50 words without end marks is found wherever it stands."""
+    import random
+
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("aeiourstn") for _ in range(r.randint(2, 8)))
+    missed, covered = 0, 0
+    for _ in range(200):
+        passage = " ".join(word() for _ in range(n))
+        found = []
+        for _ in range(2):
+            text = " ".join([*(word() for _ in range(r.randint(3, 30))), passage, *(word() for _ in range(r.randint(3, 30)))])
+            units = spans.sentences(text)
+            found.append({h: [w for u in units[at : at + k] for w in u[2]] for at, k, h in spans.runs(units)})
+        both = [found[0][h] for h in found[0].keys() & found[1].keys()]
+        missed += not both
+        covered += max((len(set().union(*map(set, both))), 0))
+    assert missed <= 2 and covered / 200 > 0.75 * n
+
+
 def test_runs_against_all_windows():
     units = spans.sentences(prose(3, 300) + "\n" + prose(4, 30).replace(".", ""))
     text = prose(3, 300) + "\n" + prose(4, 30).replace(".", "")

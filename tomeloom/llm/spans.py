@@ -5,8 +5,8 @@ hashes are joined over all documents; a run that also stands earlier (by documen
 place) is a repeat, and the sentences it covers are removed.  The first occurrence stays.
 
 Sentences end at . ! ? and line ends; a stretch of more than 16 words without one is cut
-behind words that their own hash selects, so that the cuts of a repeated passage do not
-depend on what stands around it.
+behind words that their own hash selects (one in four), so that the cuts of a repeated
+passage do not depend on what stands around it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeloom.llm.arrow import Sink, rows_of
@@ -34,7 +34,7 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     out = []
     for m in _SENTENCE.finditer(text):
         a, b = m.span()
-        words = text[a:b].lower().split()
+        words = _WORD.findall(text[a:b].lower())
         if not words:
             continue
         if len(words) <= WORDS:
@@ -43,7 +43,7 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
         held, start = [], a
         for w in _WORD.finditer(text, a, b):
             held.append(w.group().lower())
-            if len(held) >= 4 and not zlib.crc32(held[-1].encode("utf-8", "surrogatepass")) & 7:
+            if not zlib.crc32(held[-1].encode("utf-8", "surrogatepass")) & 3:
                 out.append((start, w.end(), held))
                 held, start = [], w.end()
         if held:
@@ -71,7 +71,8 @@ def runs(units: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int, by
 
 #: Runs that a task combines at a time.
 BLOCK = 400_000
-_RUNS = pa.schema([(n, pa.int64()) for n in ("a", "b", "again", "id", "at", "n", "first_id")])
+#: place: the first sentence, times 64, and how many (WORDS at most, as each has a word).
+_RUNS = pa.schema([(n, pa.int64()) for n in ("a", "b", "again", "id", "h", "place", "first_id")])
 _RUNS_DDL = ", ".join(f"{n} long" for n in _RUNS.names)
 
 
@@ -82,16 +83,16 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _combined(a: list[int], b: list[int], ids: list[int], places: list[int], sizes: list[int]) -> pa.RecordBatch:
+def _combined(*held: list[int]) -> pa.RecordBatch:
     """A block's runs, sorted by hash, document, place; all but a hash's first are repeats already."""
-    rows = [np.array(x, np.int64) for x in (a, b, ids, places, sizes)]
-    order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
-    a, b, ids, places, sizes = (x[order] for x in rows)
-    once = _starts(a, b, ids, places)  # rows given twice are one document
-    a, b, ids, places, sizes = (x[once] for x in (a, b, ids, places, sizes))
+    rows = [np.array(x, np.int64) for x in held]  # a, b, id, h, place
+    order = np.lexsort(rows[::-1])
+    rows = [x[order] for x in rows]
+    once = _starts(*rows)  # rows given twice are one document
+    a, b, ids, h, places = (x[once] for x in rows)
     new = _starts(a, b)
     first = ids[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, (~new).astype(np.int64), ids, places, sizes, first)], schema=_RUNS)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, (~new).astype(np.int64), ids, h, places, first)], schema=_RUNS)
 
 
 def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +102,9 @@ def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     meet other blocks' rows, however many documents it stands in.
     """
     held: tuple[list[int], ...] = ([], [], [], [], [])
-    for ident, text in rows_of(batches, 64):
-        for at, n, h in runs(sentences(text or "")):
-            for column, value in zip(held, (int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), ident, at, n), strict=True):
+    for ident, h, text in rows_of(batches, 64):
+        for at, n, digest in runs(sentences(text or "")):
+            for column, value in zip(held, (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), ident, h, at << 6 | n), strict=True):
                 column.append(value)
         if len(held[0]) >= BLOCK:
             yield _combined(*held)
@@ -112,41 +113,44 @@ def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _combined(*held)
 
 
-_REPEATS = pa.schema([(n, pa.int64()) for n in ("id", "at", "n", "first_id")])
+_REPEATS = pa.schema([(n, pa.int64()) for n in ("id", "h", "place", "first_id")])
 
 
 def _not_first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From runs sorted by hash, again, document, place: those that stand earlier elsewhere."""
-    last: tuple[int, int, int, int] | None = None  # hash, first id and place of the open group
+    last: tuple[int, ...] = ()  # hash, and the first document (id, h) and place of the open group
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b, again, ids, places, sizes, first = (c.to_numpy() for c in batch.columns)
+        a, b, again, ids, h, places, first = (c.to_numpy() for c in batch.columns)
         new = _starts(a, b)
-        if last is not None and (a[0], b[0]) == last[:2]:
+        if last and (a[0], b[0]) == last[:2]:
             new[0] = False
         begins = np.flatnonzero(new)
         group = np.cumsum(new) - 1  # -1: the group left open by the batch before
-        lead_ids = np.concatenate([ids[begins], [last[2] if last else 0]])
-        lead_at = np.concatenate([places[begins], [last[3] if last else 0]])
-        lead = np.where(again == 1, first, lead_ids[group])
-        out = (again == 1) | (ids != lead_ids[group]) | (places != lead_at[group])
-        last = (a[-1], b[-1], lead_ids[group[-1]], lead_at[group[-1]])
+        lead = [np.append(x[begins], old)[group] for x, old in zip((ids, h, places), last[2:] or (0, 0, 0), strict=True)]
+        out = (again == 1) | (ids != lead[0]) | (h != lead[1]) | (places != lead[2])
+        last = (a[-1], b[-1], *(x[-1] for x in lead))
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (ids, places, sizes, lead)], schema=_REPEATS)
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (ids, h, places, np.where(again == 1, first, lead[0]))], schema=_REPEATS)
+
+
+def _document(id_col: str, text_col: str) -> list[Column]:
+    """What names a document: rows with one id and different texts are different ones."""
+    return [F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")]
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at, n, first_id): runs of n sentences from sentence ``at`` that stand earlier in first_id.
+    """(id, h, place, first_id): runs that stand earlier in first_id; h tells texts of one id apart.
 
     One exchange by hash: the rows that must meet (one a block and hash) by the hash alone,
     settled repeats over all tasks.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id is not null and t is not null")
+    rows = docs.select(*_document(id_col, text_col)).filter("id is not null and t is not null")
     found = rows.mapInArrow(_hashed, _RUNS_DDL)
     deal = F.when(F.col("again") == 1, F.col("id")).otherwise(F.lit(0))
-    found = found.repartition("a", "b", deal).sortWithinPartitions("a", "b", "again", "id", "at")
-    return found.mapInArrow(_not_first, "id long, at long, n long, first_id long")
+    found = found.repartition("a", "b", deal).sortWithinPartitions("a", "b", "again", "id", "h", "place")
+    return found.mapInArrow(_not_first, "id long, h long, place long, first_id long")
 
 
 _OUT = pa.schema([("id", pa.int64()), ("text", pa.string()), ("removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("first_ids", pa.list_(pa.int64()))])
@@ -160,9 +164,9 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         units = sentences(text)
         gone = [0] * (len(units) + 1)
-        for r in found:
-            gone[r["at"]] += 1
-            gone[min(r["at"] + r["n"], len(units))] -= 1
+        for place in found:
+            gone[place >> 6] += 1
+            gone[(place >> 6) + (place & 63)] -= 1
         spans, depth, n = [], 0, 0
         for (a, b, _), step in zip(units, gone, strict=False):
             depth += step
@@ -188,11 +192,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     * a null text stays null and an empty one empty; a row without an id stays as it is;
     * repeats inside a document count too: all but the first go;
-    * rows that repeat an id and text are one document: neither makes the other a repeat;
+    * rows that repeat an id and text are one document: neither makes the other a repeat; rows
+      with one id and different texts are two, the one of the smaller text digest first;
     * whole texts are read, of any length; an empty table gives no rows.
     """
-    found = repeats(docs, id_col, text_col).groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("found"), F.sort_array(F.collect_set("first_id")).alias("first_ids"))
+    found = repeats(docs, id_col, text_col).groupBy("id", "h").agg(F.collect_set("place").alias("found"), F.sort_array(F.collect_set("first_id")).alias("first_ids"))
     found = written(found, "repeats")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    rows = docs.select(*_document(id_col, text_col))
     schema = "id long, text string, removed long, spans array<struct<start:long,end:long>>, first_ids array<long>"
-    return rows.join(found, "id", "left").select("id", "t", "found", "first_ids").mapInArrow(_cut, schema).withColumnRenamed("id", id_col)
+    return rows.join(found, ["id", "h"], "left").select("id", "t", "found", "first_ids").mapInArrow(_cut, schema).withColumnRenamed("id", id_col)
