@@ -276,3 +276,30 @@ def any_of(c: Column, patterns: Sequence[str]) -> Column:
     for p in patterns:
         out = out | c.rlike(p)
     return out
+
+
+#: What a word may begin after.
+WORD_START = "[ \\t\\n\\x0B\\f\\r\u00a0–—_.():,/\\\\«»\"'-]"
+
+
+def fuzzy_score(query: Column, target: Column) -> Column:
+    """How well a query's letters fit a text: a substring far above scattered letters, word starts
+    above middles, runs above gaps; null where the letters do not occur in order."""
+    q, t = F.lower(query), F.lower(target)
+
+    def starts(i: Column) -> Column:
+        return (i == 1) | F.substring(t, i - 1, F.lit(1)).rlike(WORD_START)
+
+    at = F.instr(t, q)
+    whole = 100 - F.least(F.lit(50), at - 1) + F.when(starts(at), 30).otherwise(0)
+
+    def step(held: Column, i: Column) -> Column:
+        hit = (held["next"] <= F.length(q)) & (F.substring(t, i, F.lit(1)) == F.substring(q, held["next"], F.lit(1)))
+        gain = 1 + 2 * held["run"] + F.when(starts(i), 8).otherwise(0)
+        return F.when(hit, F.struct((held["next"] + 1).alias("next"), (held["run"] + 1).alias("run"), (held["score"] + gain).alias("score"))).otherwise(
+            F.struct(held["next"].alias("next"), F.lit(0).alias("run"), held["score"].alias("score"))
+        )
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), F.struct(F.lit(1).alias("next"), F.lit(0).alias("run"), F.lit(0).alias("score")), step)
+    scattered = F.when(walk["next"] > F.length(q), walk["score"])
+    return F.when(q == "", 0).when(at > 0, whole).otherwise(scattered).cast("double")

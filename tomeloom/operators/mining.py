@@ -24,16 +24,24 @@ MAX_PAGES = 8
 
 @dataclass(frozen=True)
 class StopLists:
-    """func: no term begins or ends on one.  common: no capitalised word of these is a name."""
+    """func: no term begins or ends on one.  common: no capitalised word of these is a name.
+    capital: nouns that running text writes with a capital anyway."""
 
-    func: tuple[str, ...] = field(default=tuple(W.ENGLISH_CLOSED))
+    func: tuple[str, ...] = field(default=tuple(W.ENGLISH_FUNCTION))
     common: tuple[str, ...] = field(default=tuple(W.ENGLISH_COMMON))
+    capital: tuple[str, ...] = field(default=tuple(W.ENGLISH_CAPITAL))
 
     @classmethod
     def for_language(cls, lang: str) -> StopLists:
         """English alone for English, with Russian for all others (a word of any list is worth
         nothing at a term's edge in any language)."""
-        return cls() if lang == "en" else cls(tuple(dict.fromkeys([*W.ENGLISH_CLOSED, *W.RUSSIAN_CLOSED])))
+        if lang == "en":
+            return cls()
+        func = (*W.RUSSIAN_FUNCTION, *W.RUSSIAN_QUESTION_FUNCTION, *W.RUSSIAN_INFLECTED_FUNCTION, *W.ENGLISH_FUNCTION)
+        return cls(tuple(dict.fromkeys(func)), tuple(dict.fromkeys((*W.RUSSIAN_COMMON, *W.ENGLISH_COMMON))), (*W.RUSSIAN_CAPITAL, *W.ENGLISH_CAPITAL))
+
+
+ALL_LISTS = StopLists.for_language("und")
 
 
 def _edge(w: Column, func: Sequence[str]) -> Column:
@@ -64,11 +72,13 @@ def grams(pages: DataFrame, func: Sequence[str]) -> DataFrame:
 
 
 def _place() -> Column:
-    """A place in a book as one number that sorts: page (24 bits), sentence (12), clause (9), token (18)."""
-    out = F.col("page").cast("long")
-    for name, bits in (("s", 12), ("c", 9), ("a", 18)):
-        out = F.shiftleft(out, bits).bitwiseOR(F.least(name, F.lit((1 << bits) - 1)).cast("long"))
-    return out
+    """A place in a book, which sorts: page, sentence, clause, token."""
+    return F.struct(F.col("page").cast("long").alias("page"), "s", "c", "a")
+
+
+def _before(place: str) -> Column:
+    """What is greater the earlier the place."""
+    return F.struct(*[(-F.col(f"{place}.{part}")).alias(part) for part in ("page", "s", "c", "a")])
 
 
 def gram_counts(pages: DataFrame, func: Sequence[str], min_freq: int = 1) -> DataFrame:
@@ -95,7 +105,7 @@ def gram_counts(pages: DataFrame, func: Sequence[str], min_freq: int = 1) -> Dat
     forms = forms.groupBy("book_key", "key", "surface").agg(F.count_if("inner").alias("f"), F.min("place").alias("place"), F.min(F.when(F.col("inner"), F.col("place"))).alias("inner_place"))
     shown = forms.groupBy("book_key", "key").agg(
         F.min(F.struct("place", "surface")).alias("first"),
-        F.max(F.when(F.col("f") > 0, F.struct(F.col("f"), -F.col("inner_place"), F.col("surface").alias("surface")))).alias("best"),
+        F.max(F.when(F.col("f") > 0, F.struct(F.col("f"), _before("inner_place"), F.col("surface").alias("surface")))).alias("best"),
     )
     first = F.when(F.col("first.place") == F.col("first_seen"), F.col("first.surface"))
     best = F.when(F.col("best.f") > F.col("non_init") - F.col("cased"), F.col("best.surface"))

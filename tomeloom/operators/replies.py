@@ -130,7 +130,7 @@ def name_shaped(label: Column, stop: StopLists) -> Column:
 
     def named(word: Column) -> Column:
         w = F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-        return w.rlike(r"^\p{Lu}") & (w != F.upper(w)) & ~F.lower(w).isin(*stop.func, *stop.common)
+        return w.rlike(r"^\p{Lu}") & (w != F.upper(w)) & ~F.lower(w).isin(*stop.func, *stop.common, *stop.capital)
 
     return F.exists(F.split(T.flat(label), " "), named)
 

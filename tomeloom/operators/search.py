@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeloom.functions import text as T
-from tomeloom.functions.udfs import fuzzy_score
+from tomeloom.functions.text import fuzzy_score
 
 
 def find(pages: DataFrame, query: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tomeloom.functions import text as T
 from tomeloom.functions import words as W
-from tomeloom.functions.udfs import fuzzy_score, is_citation, nfkc, split_authors, split_citations
+from tomeloom.functions.udfs import is_citation, nfkc, split_authors, split_citations
 from tomeloom.operators import glossary, graph, pagekinds, search, translation
 from tomeloom.plans.corpus import lines, pages, table
 from tomeloom.plans.terms import _list
@@ -155,7 +155,7 @@ def find_wrap_order(spark, sf_dir):
 
 def fuzzy_rank(spark, sf_dir):
     """SE04: part names by fuzzy score (rows only)."""
-    return table(spark, sf_dir, "part").select("p_partkey", fuzzy_score(F.lit("rin"), F.col("p_name")).alias("score")).filter("score is not null")
+    return table(spark, sf_dir, "part").select("p_partkey", T.fuzzy_score(F.lit("rin"), F.col("p_name")).alias("score")).filter("score is not null")
 
 
 def library_order(spark, sf_dir):

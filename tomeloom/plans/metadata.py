@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tomeloom.functions import text as T
-from tomeloom.functions import words as W
 from tomeloom.operators import metadata as M
 from tomeloom.operators import replies as R
+from tomeloom.operators.mining import ALL_LISTS
 from tomeloom.plans.corpus import table
 from tomeloom.plans.library import _fold_sql
 from tomeloom.plans.terms import _list
@@ -97,7 +97,7 @@ def _junk(c: str, patterns) -> str:
     return " OR ".join(f"regexp_matches({c}, {_lit(p)})" for p in patterns)
 
 
-_FUNC = _list(dict.fromkeys((*W.ENGLISH_CLOSED, *W.RUSSIAN_CLOSED)))
+_FUNC = _list(ALL_LISTS.func)
 ORACLE = {
     "book_titles": rf"""WITH b AS (SELECT p_partkey AS book_key, p_name, p_brand, {_flat("CASE WHEN p_size < 10 THEN 'p' WHEN p_size < 20 THEN p_name || '.pdf' WHEN p_size < 30 THEN 'Microsoft Word - ' || p_name WHEN p_size < 40 THEN p_name || '  ' || chr(9) || ' of ' || p_type END")} AS s FROM part),
 h AS (SELECT l_partkey AS book_key, arg_max(concat_ws(' ', l_returnflag, l_linestatus, l_orderkey), (l_quantity, -l_orderkey)) AS head FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'R' GROUP BY ALL)
