@@ -54,7 +54,7 @@ def test_validation_keeps_a_users_line(spark):
     records = spark.createDataFrame(rows, "book_key string, term string, freq long, pages array<int>, source string, definition string")
     out = passes.validate(records, lambda xs: ["yes :: " + ("red ring" if "red" in x else "blue bolts") for x in xs], lambda ts: [f"{t} :: {'no' if t == 'gear' else 'yes'}" for t in ts])
     got = {r.term: (r.freq, r.pages, r.definition, r.aliases) for r in out.collect()}
-    assert got == {"red rings": (8, [1, 2], "Rings.", ["red ring"]), "blue bolts": (3, [3, 4], None, ["blue bolt"]), "gear": (1, [1], None, [])}
+    assert got == {"red rings": (8, [1, 2], "Rings.", ["red ring"]), "blue bolt": (3, [3, 4], "Bolt.", ["blue bolts"]), "gear": (1, [1], None, [])}
 
 
 def test_selection(spark):
