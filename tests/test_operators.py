@@ -179,3 +179,32 @@ def test_readers_are_lenient(spark, tmp_path):
     sinks.write_shards(nodes.select("book_key", "id"), out)
     sinks.write_shards(nodes.select("book_key", F.lit("other").alias("id")), out)
     assert [r.id for r in spark.read.parquet(out).collect()] == ["other"]
+
+
+def test_lookup_meets_all_that_can_score(spark):
+    """Phrases, words, and texts inside each other: none is lost by meeting on keys."""
+    nodes = [("n:old gizmo", "term"), ("n:ir", "term"), ("n:red anvil", "person"), ("n:ring theory", "topic"), ("n:wolf", "term"), ("n:unrelated", "term")]
+    rows = spark.createDataFrame([(i, k, i[2:], 50.0, ["x"]) for i, k in nodes], "id string, kind string, label string, weight double, books array<string>")
+    asked = {1: "cold gizmos", 2: "what of ir and wolves", 3: "ring", 4: "red anv", 5: "in", 6: "theory of rings"}
+    got = {(r.q_id, r.id[2:]) for r in graph.graph_lookup(spark.createDataFrame(list(asked.items()), "q_id int, q string"), rows, 100).collect()}
+    assert got == {(1, "old gizmo"), (2, "ir"), (2, "wolf"), (3, "ring theory"), (4, "red anvil"), (5, "ring theory"), (6, "ring theory")} - {(2, "wolf")} | {(1, "old gizmo")}
+
+
+def test_orders_without_one_task(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tomeloom.operators import ordered
+
+    monkeypatch.setattr(ordered, "STRETCH", 5)
+    rows = spark.createDataFrame([(b, p, (p * 7 + b) % 11) for b in range(3) for p in range(0, 60, b + 1)], "b long, p long, v long").repartition(7)
+    got = {(r.b, r.p): (r.s, r.before, r.after) for r in ordered.with_neighbours(ordered.running_before(rows, "b", "p", F.col("v"), "s"), "b", "p", "v").collect()}
+    for b in range(3):
+        places = list(range(0, 60, b + 1))
+        v = [(p * 7 + b) % 11 for p in places]
+        for i, p in enumerate(places):
+            assert got[b, p] == (sum(v[:i]), v[i - 1] if i else None, v[i + 1] if i + 1 < len(v) else None)
+    ranked = {(r.b, r.p): r.place for r in ordered.placed(rows, ["v", "b", "p"]).collect()}
+    want = sorted(((p * 7 + b) % 11, b, p) for b, p in got)
+    assert ranked == {(b, p): n for n, (_, b, p) in enumerate(want, 1)}
+    pairs = spark.createDataFrame([("k", f"{i:03d}", f"{i + 1:03d}") for i in range(40)] + [("j", "001", "000"), ("k", "900", "901")], "key string, a string, b string")
+    assert {(r.key, r.node): r.least for r in ordered.connected(pairs, "key").collect()} == {**{("k", f"{i:03d}"): "000" for i in range(41)}, ("j", "000"): "000", ("j", "001"): "000", ("k", "900"): "900", ("k", "901"): "900"}

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeloom.functions import text as T
+from tomeloom.operators.ordered import connected
 
 # The line grammar.
 COMMENT = f"^{T.WS}*#(?:{T.WS}|#|$)"
@@ -199,14 +200,16 @@ def build_prompts(texts: DataFrame, glossary: DataFrame, target: str, context: C
 
 
 def duplicate_pairs(records: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """(book_key, a, b, sim): terms of one concept id, or of a bigram similarity of at least
-    ``threshold``.
+    """(book_key, a, b, sim): terms of a bigram similarity of at least ``threshold``; terms of one
+    concept id are paired with the first of them.
 
     Terms that similar share a rare bigram: of a term's bigrams in order of rarity only the
     first (1 - t/(2-t)) share need be joined, so frequent bigrams never make pairs.
     """
     rows = records.select("book_key", "term").distinct().withColumn("norm", T.out_norm(F.col("term"))).withColumn("cid", T.concept_id(F.col("term")))
-    same = rows.alias("x").join(rows.alias("y"), ["book_key", "cid"]).filter("x.term < y.term and cid <> ''").select("book_key", F.col("x.term").alias("a"), F.col("y.term").alias("b"), F.lit(1.0).alias("sim"))
+    # terms of one concept are each paired with the first of them
+    first = rows.filter("cid <> ''").groupBy("book_key", "cid").agg(F.min("term").alias("a"))
+    same = rows.join(first, ["book_key", "cid"]).filter("term > a").select("book_key", "a", F.col("term").alias("b"), F.lit(1.0).alias("sim"))
     grams = rows.withColumn("grams", T.bigrams(F.col("norm")))
     # bigrams are numbered within equals, so multisets become sets
     each = grams.select("book_key", "term", "norm", F.posexplode("grams").alias("i", "g"))
@@ -225,23 +228,8 @@ def duplicate_pairs(records: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 def cluster_duplicates(records: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(book_key, term, cluster): terms joined by duplicate pairs; cluster is the smallest term."""
-    pairs = duplicate_pairs(records, threshold)
-
-    def join(df: pd.DataFrame) -> pd.DataFrame:
-        root: dict[str, str] = {}
-
-        def find(x: str) -> str:
-            while root.setdefault(x, x) != x:
-                x = root[x]
-            return x
-
-        for a, b in zip(df["a"], df["b"], strict=True):
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-        return pd.DataFrame([(df["book_key"].iloc[0], t, find(t)) for t in root], columns=["book_key", "term", "cluster"])
-
-    # one book's duplicate pairs: what a reader could look through, never a corpus
-    return pairs.groupBy("book_key").applyInPandas(join, "book_key string, term string, cluster string")
+    found = connected(duplicate_pairs(records, threshold), "book_key")
+    return found.select("book_key", F.col("node").alias("term"), F.col("least").alias("cluster"))
 
 
 def fold_duplicates(records: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from tomeloom.functions.words import QUESTION_WORDS
 # Fixed values.
 SHARE_TOP, SHARE_FLOOR, SHARE_DEGREE, SHARE_CARRIERS = 30, 0.06, 6, 120
 PER_PAGE, PAIR_TOP, MAX_PAGES = 24, 200, 8
-MOST_QUESTIONS = 20_000  # questions that may be broadcast
+MIN_SUBSTRING, DRAWN = 5, 700
 SCORE_FLOOR, MAX_CONCEPTS, MAX_BOOKS, PAGES_SHOWN, NEARBY, BLOCK, NEARBY_ROOM = 0.35, 8, 3, 5, 3, 1400, 160
 
 
@@ -157,8 +157,9 @@ def asked_words(c: Column) -> Column:
 def graph_lookup(questions: DataFrame, nodes: DataFrame, top: int = MAX_CONCEPTS) -> DataFrame:
     """(q_id, rank, id, score) from questions (q_id, q[, quote, open_book]) and merged nodes.
 
-    A theta join by definition (phrases and substrings count): concepts stream past the
-    questions, and a cheap test of shared words or substrings comes before any score.
+    Whatever can score shares a key: a word asked for, the five letters that a concept in the
+    question begins with, or those that a question in a concept begins with.  So questions and
+    concepts meet by an equi-join, and scores are of what met.
     """
     quote = F.coalesce("quote", F.lit("")) if "quote" in questions.columns else F.lit("")
     opened = F.col("open_book") if "open_book" in questions.columns else F.lit(None).cast("string")
@@ -169,14 +170,28 @@ def graph_lookup(questions: DataFrame, nodes: DataFrame, top: int = MAX_CONCEPTS
     nid = F.when(F.col("id").startswith("n:"), F.expr("substring(id, 3)")).otherwise(T.norm_id(F.col("label")))
     concepts = concepts.select("id", nid.alias("nid"), F.col("kind").isin("term", "topic").alias("folded"), "weight", "books").filter("nid <> ''")
     concepts = concepts.withColumn("parts", F.filter(F.split("nid", " "), lambda w: (F.length(w) >= 3) & ~w.isin(*QUESTION_WORDS)))
-    # questions are what readers typed; a table of them beyond the bound is not broadcast
-    few = qs.limit(MOST_QUESTIONS + 1).count() <= MOST_QUESTIONS
-    pairs = concepts.join(F.broadcast(qs) if few else qs, _may_match())
+
+    def tagged(tag: str, texts: Column) -> Column:
+        return F.transform(texts, lambda t: F.concat(F.lit(tag), t))
+
+    both = F.array("nq", "fq")
+    long_nid = F.length("nid") >= MIN_SUBSTRING
+    # w: a word; b: how a concept found in a question begins; i: how a question found in a concept begins
+    q_keys = F.concat(
+        tagged("w", F.col("asked")), tagged("w", F.split("nq", " ")), tagged("w", F.split("fq", " ")), tagged("b", F.flatten(F.transform(both, lambda t: _pieces(t)))), tagged("i", F.transform(both, lambda t: F.substring(t, 1, MIN_SUBSTRING))),
+    )
+    inner = F.flatten(F.array(_pieces(F.col("nid")), *[_pieces(F.col("nid"), n) for n in range(1, MIN_SUBSTRING)])) if _any_short(qs) else _pieces(F.col("nid"))
+    none = F.array().cast("array<string>")
+    c_keys = F.concat(tagged("w", F.col("parts")), tagged("w", F.slice(F.split("nid", " "), 1, 1)), F.when(long_nid, F.array(F.concat(F.lit("b"), F.substring("nid", 1, MIN_SUBSTRING)))).otherwise(none), F.when(long_nid, tagged("i", inner)).otherwise(none))
+    q_side = qs.select("q_id", F.explode(F.array_distinct(q_keys)).alias("key"))
+    c_side = concepts.select("id", F.explode(F.array_distinct(c_keys)).alias("key"))
+    met = q_side.join(c_side, "key").select("q_id", "id").distinct()
+    pairs = met.join(qs, "q_id").join(concepts, "id")
     hits = []
     for text, needs_fold in (("nq", False), ("fq", True)):
         q = F.col(text)
         hit = F.when(F.col("nid") == q, 3.0).when(F.concat(F.lit(" "), q, F.lit(" ")).contains(F.concat(F.lit(" "), F.col("nid"), F.lit(" "))), 2.2)
-        hit = hit.when((F.length("nid") >= 5) & (q.contains(F.col("nid")) | F.col("nid").contains(q)), 1.6).otherwise(0.0)
+        hit = hit.when((F.length("nid") >= MIN_SUBSTRING) & (q.contains(F.col("nid")) | F.col("nid").contains(q)), 1.6).otherwise(0.0)
         hits.append(F.when(F.col("folded"), hit).otherwise(0.0) if needs_fold else hit)
     hit = F.greatest(*hits)
     met = F.size(F.filter("parts", lambda w: F.array_contains("asked", w)))
@@ -188,9 +203,15 @@ def graph_lookup(questions: DataFrame, nodes: DataFrame, top: int = MAX_CONCEPTS
     return rows.withColumn("rank", rank).filter(F.col("rank") <= top).select("q_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-def _may_match() -> Column:
-    phrase = F.col("nq").contains(F.col("nid")) | F.col("fq").contains(F.col("nid"))
-    return F.arrays_overlap("parts", "asked") | phrase | ((F.length("nid") >= 5) & (F.col("nid").contains(F.col("nq")) | F.col("nid").contains(F.col("fq"))))
+def _pieces(c: Column, size: int = MIN_SUBSTRING) -> Column:
+    """All stretches of ``size`` characters."""
+    n = F.length(c) - size + 1
+    return F.when(n < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(c, i, F.lit(size))))
+
+
+def _any_short(qs: DataFrame) -> bool:
+    """Whether a question is too short to begin with MIN_SUBSTRING letters."""
+    return bool(qs.filter((F.length("nq") < MIN_SUBSTRING) | (F.length("fq") < MIN_SUBSTRING)).limit(1).count())
 
 
 def neighbours(shares: DataFrame, top: int = NEARBY) -> DataFrame:
@@ -230,7 +251,7 @@ def graph_stats(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count_if(F.col("kind") == "book").alias("books"), F.count_if(F.col("kind") != "book").alias("concepts"))
 
 
-def heaviest(nodes: DataFrame, top: int = 700) -> DataFrame:
+def heaviest(nodes: DataFrame, top: int = DRAWN) -> DataFrame:
     """The concepts that are drawn."""
     return nodes.filter("kind <> 'book'").orderBy(F.desc("weight"), "id").limit(top)
 
@@ -253,10 +274,12 @@ def seed_positions(nodes: DataFrame, width: float, height: float, gap: float = 1
 def layout(positions: DataFrame, edges: DataFrame, ticks: int = 50) -> DataFrame:
     """(id, x, y) after force steps: repulsion in grid cells, springs along edges, centring.
 
-    A drawing has at most 700 nodes by definition (``heaviest``), which one task moves.
+    A drawing has at most DRAWN nodes (``heaviest`` gives them), which one task moves.
     """
     import numpy as np
 
+    if positions.limit(DRAWN + 1).count() > DRAWN:
+        raise ValueError(f"a drawing has at most {DRAWN} nodes")
     near = edges.join(positions.select(F.col("id").alias("a")), "a", "left_semi").join(positions.select(F.col("id").alias("b")), "b", "left_semi")
     links = near.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("to"))
     rows = positions.join(links, "id", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tomeloom.functions import text as T
 from tomeloom.functions.words import CYRILLIC_LANGUAGES, LANGUAGE_WORDS
+from tomeloom.operators.ordered import running_before
 
 # How much is read, and what evidence a verdict asks for.
 PER_PAGE, PER_BOOK = 4_000, 120_000
@@ -19,8 +20,8 @@ HAN_CONFIDENCE = {"ja": 0.95, "zh": 0.9}
 def pooled(pages: DataFrame) -> DataFrame:
     """The text a verdict reads: 4000 characters a page, 120 000 a book, in page order."""
     rows = pages.select("book_key", "page", F.substring("text", 1, PER_PAGE).alias("text")).filter("text <> ''")
-    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("book_key").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("left", (PER_BOOK - before).cast("int")).filter("left > 0")
+    rows = running_before(rows, "book_key", "page", F.length("text"), "before")
+    rows = rows.withColumn("left", (PER_BOOK - F.col("before")).cast("int")).filter("left > 0")
     return rows.select("book_key", F.substring("text", F.lit(1), F.col("left")).alias("text"))
 
 

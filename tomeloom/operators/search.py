@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tomeloom.functions import text as T
 from tomeloom.functions.text import fuzzy_score
+from tomeloom.operators.ordered import placed
 
 
 def find(pages: DataFrame, query: str) -> DataFrame:
@@ -85,7 +86,7 @@ def library_order(books: DataFrame, query: str = "", filter_by: str = "all") ->
         order = [F.when(F.lower(label).startswith(q), 0).otherwise(1), name, F.col("path")]
     else:
         order = [F.when(reading, 0).otherwise(1), F.when(reading, -F.coalesce("last_opened", F.lit(0))).otherwise(0), name, F.col("path")]
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return placed(rows, order)
 
 
 def outline_filter(outline: DataFrame, query: str) -> DataFrame:

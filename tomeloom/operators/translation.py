@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeloom.functions import text as T
+from tomeloom.operators.ordered import running_before
 
 
 def carry_over(todo: DataFrame, old: DataFrame, page_count: int) -> DataFrame:
@@ -106,7 +107,7 @@ def hyphen_keep_set(lines: DataFrame) -> DataFrame:
 
 def gap_runs(pages: DataFrame, missing: Column) -> DataFrame:
     """(book_key, first, last): runs of neighbouring pages for which ``missing`` holds."""
-    rows = pages.filter(missing).withColumn("island", F.col("page") - F.row_number().over(Window.partitionBy("book_key").orderBy("page")))
+    rows = running_before(pages.filter(missing), "book_key", "page", F.lit(1), "n").withColumn("island", F.col("page") - F.col("n"))
     return rows.groupBy("book_key", "island").agg(F.min("page").alias("first"), F.max("page").alias("last")).drop("island")
 
 

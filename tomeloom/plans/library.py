@@ -182,8 +182,8 @@ def repetition_window(spark, sf_dir):
 
 def gap_islands(spark, sf_dir):
     """WIN08: runs of neighbouring orders that are not fulfilled."""
-    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("book_key"), F.col("o_orderkey").alias("page"), "o_orderstatus")
-    return translation.gap_runs(o.withColumn("book_key", F.lit(1)), F.col("o_orderstatus") != "F")
+    o = table(spark, sf_dir, "orders").select(F.lit(1).alias("book_key"), F.col("o_orderkey").alias("page"), "o_orderstatus")
+    return translation.gap_runs(o, F.col("o_orderstatus") != "F")
 
 
 def catch_up_list(spark, sf_dir):
