@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,61 +49,78 @@ def _edge(w: Column, func: Sequence[str]) -> Column:
     return (F.length(w) >= 2) & ~w.isin(*func)
 
 
-def grams(pages: DataFrame, func: Sequence[str]) -> DataFrame:
+def grams(pages: DataFrame, func: Sequence[str], cased: bool = False) -> DataFrame:
     """One row per counted n-gram: book_key, page, s (sentence), c (clause), a (token), n, key,
-    surface, inner (not at the sentence's start), capital (it opens on one), raw (the sentence)."""
+    surface (null where it is the key), inner (not at the sentence's start), capital (it opens on
+    one), raw (the sentence).  With ``cased``, only those that have a surface of their own."""
     rows = pages.select("book_key", "page", F.posexplode(T.sentences(F.col("text"))).alias("s", "raw"))
     rows = rows.select("*", F.posexplode(T.clauses(F.col("raw"))).alias("c", "toks"))
     rows = rows.withColumn("low", F.transform("toks", F.lower))
+    if cased:
+        rows = rows.filter(F.col("toks") != F.col("low"))
     # a first word that may not open a term is dropped before any n-gram is made
     rows = rows.select("*", F.posexplode("low").alias("a", "w0")).filter(_edge(F.col("w0"), func))
-    low = [F.col("w0"), *[F.col(f"w{i}") for i in range(1, MAX_N)]]
+    low = [F.col(f"w{i}") for i in range(MAX_N)]
     rows = rows.select("*", *[F.get("low", F.col("a") + i).alias(f"w{i}") for i in range(1, MAX_N)], *[F.get("toks", F.col("a") + i).alias(f"t{i}") for i in range(MAX_N)])
     rows = rows.withColumn("capital", T.is_capital(F.col("t0")))
+    differs = [~F.col(f"t{i}").eqNullSafe(F.col(f"w{i}")) for i in range(MAX_N)]
+    if cased:
+        rows = rows.filter(reduce(Column.__or__, differs))
     made = []
     for n in range(1, MAX_N + 1):
         inner = F.lit(True)
         for w in low[1 : n - 1]:
             inner = inner & (F.length(w) >= 2)
         last = low[n - 1].isNotNull() & inner & (_edge(low[n - 1], func) if n > 1 else F.lit(True))
-        made.append(F.when(last, F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *low[:n]).alias("key"), F.concat_ws(" ", *[f"t{i}" for i in range(n)]).alias("surface"))))
+        own = reduce(Column.__or__, differs[:n])
+        surface = F.when(own, F.concat_ws(" ", *[f"t{i}" for i in range(n)]))
+        made.append(F.when(last & own if cased else last, F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *low[:n]).alias("key"), surface.alias("surface"))))
     rows = rows.select("book_key", "page", "s", "c", "a", "raw", "capital", F.explode(F.array_compact(F.array(*made))).alias("g"))
     rows = rows.select("book_key", "page", "s", "c", "a", "g.n", "g.key", "g.surface", ((F.col("c") + F.col("a")) > 0).alias("inner"), "capital", "raw")
     return rows.filter(F.length("key") <= MAX_KEY)
 
 
+def _spot() -> Column:
+    """A place on a page as one number that sorts: sentence, clause (16 bits), token (24 bits).
+
+    A clause of 16 million tokens or a sentence of 65,536 clauses would count as its last.
+    """
+    c, a = F.least("c", F.lit((1 << 16) - 1)), F.least("a", F.lit((1 << 24) - 1))
+    return F.shiftleft(F.col("s").cast("long"), 40).bitwiseOR(F.shiftleft(c.cast("long"), 24)).bitwiseOR(a.cast("long"))
+
+
 def _place() -> Column:
-    """A place in a book, which sorts: page, sentence, clause, token."""
-    return F.struct(F.col("page").cast("long").alias("page"), "s", "c", "a")
+    """A place in a book, which sorts."""
+    return F.struct(F.col("page").cast("long").alias("page"), F.col("spot"))
 
 
 def _before(place: str) -> Column:
     """What is greater the earlier the place."""
-    return F.struct(*[(-F.col(f"{place}.{part}")).alias(part) for part in ("page", "s", "c", "a")])
+    return F.struct(*[(-F.col(f"{place}.{part}")).alias(part) for part in ("page", "spot")])
 
 
 def gram_counts(pages: DataFrame, func: Sequence[str], min_freq: int = 1) -> DataFrame:
     """One row per (book_key, key) that occurs min_freq times: n, freq, page_count, non_init,
     cap_non_init, display, first_seen.
 
-    First pass: numbers only, so aggregates hash and combine on the map side; pages are counted
-    by the planner's two-step distinct, which deals a word on every page over all tasks.
+    First pass: numbers only, so aggregates hash and combine on the map side; a page's occurrences
+    meet before a book's do, which counts pages and deals a word on every page over all tasks.
     Second pass, for keys that reach min_freq: occurrences not in plain lower case, which
     decide the shown form.  The keys between are a written table.
     """
-    found = grams(pages, func).withColumn("place", _place())
-    cased = F.col("surface") != F.col("key")
-    keys = found.groupBy("book_key", "key", "n").agg(
-        F.count(F.lit(1)).alias("freq"),
-        F.count_if("inner").alias("non_init"),
-        F.count_if(F.col("inner") & F.col("capital")).alias("cap_non_init"),
-        F.count_if(F.col("inner") & cased).alias("cased"),
-        F.min("place").alias("first_seen"),
-        F.count_distinct("page").alias("page_count"),
+    found = grams(pages, func).withColumn("spot", _spot())
+    cased = F.col("surface").isNotNull()
+    paged = found.groupBy("book_key", "key", "n", "page").agg(
+        F.count(F.lit(1)).alias("freq"), F.count_if("inner").alias("non_init"), F.count_if(F.col("inner") & F.col("capital")).alias("cap_non_init"), F.count_if(F.col("inner") & cased).alias("cased"), F.min("spot").alias("spot")
     )
+    keys = paged.groupBy("book_key", "key", "n").agg(
+        *[F.sum(c).alias(c) for c in ("freq", "non_init", "cap_non_init", "cased")],
+        F.min(F.col("page").cast("long")).alias("page"), F.min_by("spot", "page").alias("spot"), F.count(F.lit(1)).alias("page_count"),
+    )
+    keys = keys.withColumn("first_seen", _place()).drop("page", "spot")
     keys = written(keys.filter(F.col("freq") >= min_freq), "keys")
-    forms = found.filter(cased).join(keys.select("book_key", "key"), ["book_key", "key"], "left_semi")
-    forms = forms.groupBy("book_key", "key", "surface").agg(F.count_if("inner").alias("f"), F.min("place").alias("place"), F.min(F.when(F.col("inner"), F.col("place"))).alias("inner_place"))
+    forms = grams(pages, func, cased=True).withColumn("spot", _spot()).join(keys.select("book_key", "key"), ["book_key", "key"], "left_semi")
+    forms = forms.groupBy("book_key", "key", "surface").agg(F.count_if("inner").alias("f"), F.min(_place()).alias("place"), F.min(F.when(F.col("inner"), _place())).alias("inner_place"))
     shown = forms.groupBy("book_key", "key").agg(
         F.min(F.struct("place", "surface")).alias("first"),
         F.max(F.when(F.col("f") > 0, F.struct(F.col("f"), _before("inner_place"), F.col("surface").alias("surface")))).alias("best"),
@@ -116,7 +134,7 @@ def gram_counts(pages: DataFrame, func: Sequence[str], min_freq: int = 1) -> Dat
 
 def samples(pages: DataFrame, func: Sequence[str], only: DataFrame) -> DataFrame:
     """(book_key, key, sample): the first prose sentence of each key, else the first at all."""
-    found = grams(pages, func).join(only, ["book_key", "key"], "left_semi").withColumn("place", _place())
+    found = grams(pages, func).join(only, ["book_key", "key"], "left_semi").withColumn("spot", _spot()).withColumn("place", _place())
     prose = T.is_prose(F.col("raw"))
     best = F.min_by("raw", F.struct(~prose, F.col("place")))
     return found.groupBy("book_key", "key").agg(best.alias("sample"))
