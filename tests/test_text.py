@@ -30,7 +30,8 @@ def test_concept_ids(spark):
 
 def test_norm_ids(spark):
     assert one(spark, T.norm_id(F.col("a")), ("self-organisation",), ("её",), ("  --",)) == ["self organisation", "ее", ""]
-    assert one(spark, T.norm_id(F.col("a"), udfs.nfkc), ("ﬁne Ａ１",)) == ["fine a1"]
+    assert one(spark, T.norm_id(F.col("a")), ("ﬁne Ａ１",), ("cafe\u0301 ½",), (None,)) == ["fine a1", "café 1 2", None]
+    assert one(spark, T.concept_id(F.col("a")), ("Queﬂs",), ("ＩＲ systems",)) == ["quefl", "ir system"]
     assert one(spark, T.term_key(F.col("a")), ("C++ ",), ("+ +",)) == ["c", "+ +"]
 
 

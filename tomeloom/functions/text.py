@@ -27,14 +27,20 @@ def flat(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WS + "+", " "))
 
 
-def norm_id(c: Column, nfkc=None) -> Column:
-    """Lower case, ё as е, runs of anything but letters and digits as one space.
+def composed(c: Column) -> Column:
+    """Compatibility composition (NFKC), by the library that Spark's own collations use; ASCII text
+    is looked at and left alone.
 
-    ``nfkc`` maps a column to its compatibility composition (functions.udfs.nfkc); ASCII text
-    needs none.
+    Spark takes the call for one that may vary, so what is joined or grouped on it has to be a
+    column first.
     """
-    c = nfkc(c) if nfkc else c
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), "ё", "е"), "[^\\p{L}\\p{N}]+", " "))
+    made = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True))
+    return F.when(c.rlike("[^\\x00-\\x7F]"), made).otherwise(c)
+
+
+def norm_id(c: Column) -> Column:
+    """Compatibility composition, lower case, ё as е, runs of anything but letters and digits as one space."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(composed(c)), "ё", "е"), "[^\\p{L}\\p{N}]+", " "))
 
 
 def _cut(w: Column, n: int) -> Column:
@@ -69,13 +75,13 @@ def fold_head(normed: Column) -> Column:
     return F.array_join(F.transform(words, lambda w, i: F.when(i == n - 1, fold_token(w)).otherwise(w)), " ")
 
 
-def concept_id(c: Column, nfkc=None) -> Column:
-    return fold_head(norm_id(c, nfkc))
+def concept_id(c: Column) -> Column:
+    return fold_head(norm_id(c))
 
 
-def term_key(c: Column, nfkc=None) -> Column:
+def term_key(c: Column) -> Column:
     """norm_id, or the flattened lower-case text where that leaves nothing."""
-    return F.coalesce(F.nullif(norm_id(flat(c), nfkc), F.lit("")), F.lower(flat(c)))
+    return F.coalesce(F.nullif(norm_id(flat(c)), F.lit("")), F.lower(flat(c)))
 
 
 def carry_key(c: Column) -> Column:

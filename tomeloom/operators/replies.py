@@ -202,7 +202,7 @@ def parse_duplicates(clusters: DataFrame, replies: DataFrame) -> DataFrame:
     rows = rows.withColumn("said", verdict(F.col("line"))).filter("said is not null")
     fields = F.split("line", rf"\s*{SEP}\s*")
     pick = F.when(F.size(fields) > 1, T.concept_id(F.array_join(F.slice(fields, 2, F.size(fields) - 1), f" {SEP} ")))
-    rows = rows.groupBy("book_key", "cluster").agg(F.min_by(F.struct("said", pick.alias("pick")), "no").alias("v"))
+    rows = rows.withColumn("pick", pick).groupBy("book_key", "cluster").agg(F.min_by(F.struct("said", "pick"), "no").alias("v"))
     named = clusters.join(rows, ["book_key", "cluster"], "left").withColumn("picked", T.concept_id(F.col("term")) == F.col("v.pick"))
     out = named.groupBy("book_key", "cluster").agg(F.bool_or("v.said").alias("said"), F.min(F.when(F.col("picked"), F.col("term"))).alias("picked"), F.min("term").alias("first"))
     return out.select("book_key", "cluster", F.when(F.col("said"), F.coalesce("picked", "first")).alias("lead"))

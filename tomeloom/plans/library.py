@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tomeloom.functions import text as T
 from tomeloom.functions import words as W
-from tomeloom.functions.udfs import is_citation, nfkc, split_authors, split_citations
+from tomeloom.functions.udfs import is_citation, split_authors, split_citations
 from tomeloom.operators import glossary, graph, pagekinds, search, translation
 from tomeloom.plans.corpus import lines, pages, table
 from tomeloom.plans.terms import _list
@@ -106,9 +106,11 @@ def content_keys(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.content_key(F.col("p_name").cast("binary")).alias("content_key"), T.djb2(F.col("p_name")).alias("djb2"))
 
 
-def nfkc_norm_ids(spark, sf_dir):
-    """FN01 with compatibility composition (rows only: SQL has none)."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(T.norm_id(F.col("text"), nfkc)).alias("length"))
+def composed_ids(spark, sf_dir):
+    """FN01, FN03, FN04: identity keys of labels with ligatures, full-width forms and loose accents."""
+    part = table(spark, sf_dir, "part")
+    name = F.concat(F.lit("\ufb01ne "), F.col("p_name"), F.lit(" \uff21\uff11 cafe\u0301 \u2460"), F.col("p_type"), F.lit(" \u0401\u0436 \u210cands"))
+    return part.select("p_partkey", T.norm_id(name).alias("norm_id"), T.concept_id(name).alias("concept_id"), T.term_key(name).alias("term_key"))
 
 
 def dice_pairs(spark, sf_dir):
@@ -353,6 +355,7 @@ SELECT w, folded FROM (SELECT w, {_fold_sql('w')} AS folded FROM w_) WHERE w <>
 k_ AS (SELECT *, list_filter(string_split(norm, ' '), lambda x: x <> 's') AS toks FROM n_),
 l_ AS (SELECT *, toks[len(toks)] AS w FROM k_)
 SELECT p_partkey, norm AS norm_id, array_to_string(list_append(toks[1:len(toks) - 1], {_fold_sql('w')}), ' ') AS concept_id, norm AS term_key, lower(trim(regexp_replace(name, '{T.WS}+', ' ', 'g'))) AS carry_key, norm AS out_norm FROM l_""",
+    "composed_ids": "WITH n AS (SELECT p_partkey, 'fine ' || p_name || ' a1 caf\u00e9 1' || lower(p_type) || ' \u0435\u0436 hand' AS k FROM part) SELECT p_partkey, k || 's' AS norm_id, k AS concept_id, k || 's' AS term_key FROM n",
     "content_keys": """WITH c_ AS (SELECT p_partkey, p_name, list_reduce(list_transform(string_split(p_name, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda h, x: (h * 33 + x) % 4294967296, CAST(5381 AS BIGINT)) AS h FROM part)
 SELECT p_partkey, lower(printf('%x', h)) || '-' || lower(printf('%x', strlen(p_name))) AS content_key, h AS djb2 FROM c_""",
     "page_classes": f"""WITH {_LINES}, m_ AS (SELECT book_key, page, {_MARKS} AS marks, regexp_matches(text, '{pagekinds.REFERENCE_ENTRY.replace("'", "''")}') AS entry, length(trim(text)) + 1 AS chars,
