@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tomeloom.functions import text as T
-from tomeloom.operators import desk, pagekinds, search
+from tomeloom.operators import desk, pagekinds, search, stitch
 from tomeloom.plans.corpus import lines, pages, table
 from tomeloom.plans.library import _LINES
 from tomeloom.sources import readers
+from tomeloom.streaming import runs
 
 
 def selection_context(spark, sf_dir):
@@ -155,6 +156,30 @@ def _roman(n: int) -> str:
     return out
 
 
+def stitched_pages(spark, sf_dir):
+    """LAY09, JN20, STR04: line items as pages' paragraphs, an order a book, by all of the stitch rules
+    (rows only here; tests hold them to a plain version)."""
+    li = table(spark, sf_dir, "lineitem")
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    right = F.when(q % 3 == 0, 300.0).otherwise(299.5)
+    box = F.struct((q % 2 * 12.0).alias("top"), F.lit(50.0).alias("left"), right.alias("right"))
+    text = F.concat(F.when(q % 5 == 0, "Then ").when(q % 7 == 0, "• ").otherwise("and "), F.col("l_returnflag"), F.lit(" goes on"), F.when(q % 4 == 0, ".").otherwise(""))
+    rows = li.select(
+        F.col("l_orderkey").alias("book_key"), (n / 2).cast("int").alias("page"), n.alias("idx"), F.lit(50.0).alias("x"), F.lit(250.0).alias("w"), F.when(q % 11 == 0, 14.0).otherwise(10.0).alias("fh"),
+        F.when(q % 13 == 0, "other").otherwise("prose").alias("kind"), text.alias("text"), F.array(box, box).alias("lines"), F.lit(12.0).alias("line_h"), (F.col("l_linestatus") == "X").alias("ref_page"), F.lit(False).alias("in_figure"),
+    )
+    return stitch.stitch(rows.dropDuplicates(["book_key", "page", "idx"]))
+
+
+def due_builds(spark, sf_dir):
+    """STR05: what build requests and shards leave to do."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    action = F.when(F.col("o_orderpriority") == "1-URGENT", "force").when(F.col("o_orderstatus") == "F", "forget").otherwise("build")
+    requests = o.select((F.col("o_custkey") % 700).alias("path"), F.col("o_orderkey").alias("at"), action.alias("action"))
+    shards = c.filter("c_custkey % 700 = c_custkey").select(F.col("c_custkey").alias("path"), F.when(F.col("c_custkey") % 3 == 0, "seed").otherwise("deep").alias("stage"), (F.col("c_custkey") % 4).alias("gen"))
+    return runs.build_queue(requests, shards, 3)
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}
 
 
@@ -212,6 +237,12 @@ SELECT l.conv_id AS stream_id, turn AS seq, token FROM l LEFT JOIN e USING (conv
     "chart_points": """WITH o AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 2 = 0 THEN 'bar' ELSE 'pie' END AS kind FROM orders WHERE o_orderkey % 5 > 0 AND o_orderkey % 7 > 0),
 s AS (SELECT *, unnest(CASE WHEN kind = 'pie' THEN ['a'] ELSE ['a', 'b'] END) AS series FROM o)
 SELECT o_orderkey AS spec_id, kind, 'day' AS x, series, o_orderpriority AS name, CASE WHEN series = 'a' THEN CAST('1' || o_orderkey % 10 || '50.5' AS DOUBLE) END AS value FROM s""",
+    "due_builds": """WITH r AS (SELECT o_custkey % 700 AS path, o_orderkey AS a, CASE WHEN o_orderpriority = '1-URGENT' THEN 'force' WHEN o_orderstatus = 'F' THEN 'forget' ELSE 'build' END AS action FROM orders),
+e AS (SELECT path, arg_max(action, a) AS action, max(a) FILTER (action = 'forget') AS forgot FROM r GROUP BY path),
+f AS (SELECT r.path, min(a) AS a, bool_or(r.action = 'force') AS forced FROM r JOIN e USING (path) WHERE forgot IS NULL OR a > forgot GROUP BY r.path),
+s AS (SELECT c_custkey AS path, CASE WHEN c_custkey % 3 = 0 THEN 'seed' ELSE 'deep' END AS have, c_custkey % 4 AS gen FROM customer WHERE c_custkey < 700),
+j AS (SELECT path, a, forced, have, forced OR have IS NULL OR gen < 3 AS anew FROM e JOIN f USING (path) LEFT JOIN s USING (path) WHERE e.action <> 'forget')
+SELECT path, a AS at, CASE WHEN anew THEN 'seed' ELSE 'deep' END AS stage FROM j WHERE anew OR have <> 'deep'""",
     "text_numbers": """WITH p AS (SELECT *, repeat(p_name, 7) AS s FROM part)
 SELECT p_partkey, list_reduce(list_prepend(CAST(length(s) AS BIGINT), list_transform(range(1, length(s) + 1, 32), lambda i: CAST(ascii(substr(s, i, 1)) AS BIGINT))), lambda h, x: (h * 31 + x) & 4294967295) AS signature,
   greatest(1, least(50, p_size)) AS roman, replace(p_name, ' ', '-') || '.example.org' AS host,

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tomeloom.functions import text as T
 from tomeloom.functions import words as W
-from tomeloom.functions.udfs import is_citation, split_authors, split_citations
 from tomeloom.operators import glossary, graph, pagekinds, search, translation
 from tomeloom.plans.corpus import lines, pages, table
 from tomeloom.plans.terms import _list
@@ -60,7 +59,7 @@ def label_vote(spark, sf_dir):
 
 
 def merge_edges(spark, sf_dir):
-    """AGG12, JN10, JN11: edges added up, ends that are no nodes dropped."""
+    """AGG12, JN10: edges added up, ends that are no nodes dropped."""
     rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("b:"), F.col("l_suppkey")).alias("a"), F.concat(F.lit("n:"), F.col("l_partkey")).alias("b"), F.when(F.col("l_linenumber") % 2 == 0, "shares").otherwise("mentions").alias("rel"), F.col("l_quantity").cast("double").alias("weight"))
     nodes = table(spark, sf_dir, "part").filter("p_size > 10").select(F.concat(F.lit("n:"), F.col("p_partkey")).alias("id")).unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("b:"), F.col("s_suppkey")).alias("id")))
     return graph.with_endpoints(graph.merge_edges(rows), nodes)
@@ -96,7 +95,7 @@ def concept_ids(spark, sf_dir):
 
 def plural_fold(spark, sf_dir):
     """FN02: the words of documents with their singulars."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     words = docs.select(F.explode(T.tokens(F.lower("text"))).alias("w")).distinct()
     return words.select("w", T.fold_token(F.col("w")).alias("folded")).filter("w <> folded")
 
@@ -126,7 +125,7 @@ def duplicate_clusters(spark, sf_dir):
 
 
 def page_classes(spark, sf_dir):
-    """CLS01-CLS06: page classes of documents, a line a paragraph."""
+    """CLS02-CLS04, CLS06: page classes of documents, a line a paragraph."""
     return pagekinds.classify_pages(lines(spark, sf_dir))
 
 
@@ -138,7 +137,7 @@ def citation_density(spark, sf_dir):
 
 def provenance_verdict(spark, sf_dir):
     """CLS07: articles and books by weighted evidence (rows only: patterns beyond SQL)."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_key"), (F.col("n_chars") / 100).alias("pages"), F.col("text").alias("front"), F.substring("text", -2000, 2000).alias("back"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_key"), (F.col("n_chars") / 100).alias("pages"), F.col("text").alias("front"), F.col("text").alias("back"))
     out = pagekinds.classify_provenance(docs)
     return out.withColumn("evidence", F.array_join("evidence", " | "))
 
@@ -273,14 +272,8 @@ def glossary_merge3(spark, sf_dir):
     return glossary.merge3(rows.filter("size > 10"), rows.filter("size < 40"), rows.filter("size between 5 and 45")).select("book_key", "side", "seq", "key")
 
 
-def authors_and_citations(spark, sf_dir):
-    """FN21, FN24: names and citations (rows only: token machines)."""
-    rows = spark.createDataFrame([("Ann Lee, Bob Ray and Cy Poe", "see [Wu et al., 2016] and [0, 1]"), ("Müller, Jan; Prof. Eva Klein (TU Wien)", "x @[2017] [3–7]")], "authors string, text string")
-    return rows.select(F.array_join(split_authors(F.col("authors")), ";").alias("names"), F.size(split_citations(F.col("text"))).alias("runs"), is_citation(F.lit("Salton 1975")).alias("cites"))
-
-
 def html_text(spark, sf_dir):
-    """FN34, FN08, FN28: escaping, page signatures, furniture keys of part comments."""
+    """FN34, FN27, FN28: escaping, loose numbers, furniture keys of part names."""
     part = table(spark, sf_dir, "part")
     name = F.concat(F.lit("<b>"), F.col("p_name"), F.lit('</b> & "'), F.col("p_partkey").cast("string"), F.lit('"'))
     return part.select("p_partkey", T.html_escape(name).alias("html"), T.furniture_key(name).alias("furniture"), T.loose_number(F.concat(F.col("p_size").cast("string"), F.lit(",5 %"))).alias("number"))
@@ -349,7 +342,7 @@ y AS (SELECT p_partkey, g, count(*) AS n FROM (SELECT p_partkey, unnest(list_tra
 s AS (SELECT x.p_partkey, sum(least(x.n, y.n)) AS shared FROM x JOIN y ON x.p_partkey = y.p_partkey AND x.g = y.g GROUP BY ALL)
 SELECT p.p_partkey, round(CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN length(a) < 2 OR length(b) < 2 THEN 0.0 ELSE 2.0 * coalesce(shared, 0) / (length(a) + length(b) - 2) END, 9) AS sim
 FROM p LEFT JOIN s ON p.p_partkey = s.p_partkey""",
-    "plural_fold": f"""WITH w_ AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '{T.TOKEN.replace("'", "''")}'), lambda x: regexp_matches(x, '^\\p{{L}}'))) AS w FROM documents WHERE lang = 'en')
+    "plural_fold": f"""WITH w_ AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '{T.TOKEN.replace("'", "''")}'), lambda x: regexp_matches(x, '^\\p{{L}}'))) AS w FROM documents)
 SELECT w, folded FROM (SELECT w, {_fold_sql('w')} AS folded FROM w_) WHERE w <> folded""",
     "concept_ids": f"""WITH n_ AS (SELECT p_partkey, name, {_concept_sql('name')} AS norm FROM (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), ' ') || 's'' ' || p_type || ' Boxes' AS name FROM part)),
 k_ AS (SELECT *, list_filter(string_split(norm, ' '), lambda x: x <> 's') AS toks FROM n_),
