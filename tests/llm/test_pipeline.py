@@ -40,6 +40,26 @@ def test_stages_keep_columns(spark, name):
     assert STAGES[name](spark, documents(spark, []), "").count() == 0
 
 
+def test_packed_stage_stands_special_cases(spark):
+    docs = documents(spark)
+    got = STAGES["packed"](spark, with_clashes(docs), "").collect()
+    assert {r.doc_id for r in got} == {r.doc_id for r in docs.collect()}
+    sizes = {}
+    for r in got:
+        sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
+    assert max(sizes.values()) <= 2048 and sum(r.length for r in got if r.doc_id == 5) == 1
+    assert STAGES["packed"](spark, documents(spark, []), "").count() == 0
+
+
+def test_stages_keep_rows_without_ids_and_with_repeated_ones(spark):
+    base = [(i, spoken("aa", i, 60), "aa", "s", None) for i in range(60)]
+    data = [*base, (None, spoken("aa", 900, 60), "aa", "s", None), (7, spoken("aa", 901, 60), "aa", "s", None)]
+    docs = documents(spark, data)
+    for name in ("language", "exact", "near", "mixture"):
+        docs = STAGES[name](spark, docs, "")
+        assert sorted(map(repr, (r.text for r in docs.collect()))) == sorted(repr(r[1]) for r in data), name
+
+
 def test_clean_documents_stay(spark):
     docs = documents(spark, [(i, spoken("aa", i, 50) + " " + prose(i, 20), "aa", "s", None) for i in range(200)])
     for name in ("language", "exact", "near"):
