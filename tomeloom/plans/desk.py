@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tomeloom.functions import text as T
 from tomeloom.operators import desk, pagekinds, search, stitch
 from tomeloom.plans.corpus import lines, pages, table
-from tomeloom.plans.library import _LINES
+from tomeloom.plans.library import _LINES, _find_sql
 from tomeloom.sources import readers
 from tomeloom.streaming import runs
 
@@ -243,6 +243,9 @@ f AS (SELECT r.path, min(a) AS a, bool_or(r.action = 'force') AS forced FROM r J
 s AS (SELECT c_custkey AS path, CASE WHEN c_custkey % 3 = 0 THEN 'seed' ELSE 'deep' END AS have, c_custkey % 4 AS gen FROM customer WHERE c_custkey < 700),
 j AS (SELECT path, a, forced, have, forced OR have IS NULL OR gen < 3 AS anew FROM e JOIN f USING (path) LEFT JOIN s USING (path) WHERE e.action <> 'forget')
 SELECT path, a AS at, CASE WHEN anew THEN 'seed' ELSE 'deep' END AS stage FROM j WHERE anew OR have <> 'deep'""",
+    "translated_hits": f"""WITH {_LINES}, shown_ AS (SELECT book_key AS b, page, idx, text FROM lines_ WHERE idx % 4 <> 1 AND NOT (page % 2 = 0 AND idx = 2)),
+{_find_sql("and the").replace("source AS book_key, doc_id AS page,", "b AS book_key, page || ':' || idx AS page,").replace("FROM documents", "FROM shown_")}
+SELECT book_key, CAST(string_split(page, ':')[1] AS BIGINT) AS page, CAST(string_split(page, ':')[2] AS INT) AS idx, hit, "start", "end" FROM hits_""",
     "text_numbers": """WITH p AS (SELECT *, repeat(p_name, 7) AS s FROM part)
 SELECT p_partkey, list_reduce(list_prepend(CAST(length(s) AS BIGINT), list_transform(range(1, length(s) + 1, 32), lambda i: CAST(ascii(substr(s, i, 1)) AS BIGINT))), lambda h, x: (h * 31 + x) & 4294967295) AS signature,
   greatest(1, least(50, p_size)) AS roman, replace(p_name, ' ', '-') || '.example.org' AS host,
