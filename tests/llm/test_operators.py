@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -144,6 +145,31 @@ def test_near_copies_against_plain(spark):
     assert near.drop_near_copies(documents(spark, [])).count() == 0
 
 
+def test_no_near_copy_at_the_threshold_stays(spark):
+    """Pairs of just 0.8, in blocks of their own: each larger one goes, and chains go as far as they reach."""
+    data = []
+    for n in range(3000):
+        words = [f"w{n}.{k}" for k in range(13)]
+        data += [(n, " ".join(words)), (10_000 + n, " ".join([*words[:12], "other"]))]
+    chain = [f"c{k}" for k in range(60)]
+    data += [(20_000 + k, " ".join([*chain[3 * k :], *[f"d{x}" for x in range(3 * k)]])) for k in range(8)]
+    docs = documents(spark, [(i, t, None, None, None) for i, t in data])
+    kept = {x.doc_id for x in near.drop_near_copies(docs.repartition(8)).collect()}
+    assert kept == plain_near(data[-8:]) | set(range(3000))
+
+
+def test_prefixes_of_similar_texts_meet():
+    """Whatever is ordered last, two sets of 0.8 share one of their first shingles."""
+    r = np.random.default_rng(5)
+    for n in (1, 2, 5, 10, 64, 401):
+        a = np.unique(r.integers(0, 1 << 64, n, np.uint64))
+        b = np.unique(np.concatenate([a[: math.ceil(0.8 * len(a))], r.integers(0, 1 << 64, 0, np.uint64)]))
+        for last in (a[:0], a[::2], b, np.sort(r.integers(0, 1 << 64, 9, np.uint64))):
+            rank = r.permutation(len(last))
+            assert near.similarity(a, b) >= 0.8
+            assert len(np.intersect1d(near._prefix(a, 0.8, last, rank), near._prefix(b, 0.8, last, rank)))
+
+
 def test_shards_give_a_follower_few_pairs():
     """A hot shard is no all-pairs table, and each of its rows is led by one within the radius."""
     r = np.random.default_rng(2)

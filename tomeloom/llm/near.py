@@ -13,8 +13,12 @@ Each input block first drops its own copies, on the texts it has in hand, so tha
 copies that holds a third of all documents is a few rows of each block.  A candidate then has a
 pair for each tree member near it, never all pairs of a group.
 
-Candidates that whole texts refute have met one neighbour only, so they are searched again
-among themselves, with a smaller radius each time (RADII).
+Blocks and radii leave out some pairs, so what that search leaves is searched again by an exact
+rule.  In any one order of all shingles, two texts that share ``least`` of theirs share one of
+the first n - ceil(least n) + 1 of each (n is a text's number of shingles).  So texts meet by
+the shingles of their prefixes, sizes and places in the order rule pairs out, and whole texts
+decide.  The order puts shingles that many texts of a block have last; it decides how much
+meets for nothing, never what is found.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeloom.llm.arrow import Sink, rows_of
+from tomeloom.llm.arrow import ROWS, Sink, rows_of
 from tomeloom.llm.simhash import BKTree, shingle_hashes
 from tomeloom.llm.store import small_join, written
 
@@ -36,7 +40,8 @@ WORDS = 6
 WIDTH = 64 * WORDS
 #: Share of the pairs at LEAST that have a block in common.
 RECALL = 0.99
-#: Searches: the first finds 0.998 of the pairs at 0.8 (58 bits differ, give or take 7).
+#: Bits that may differ: the first holds 0.998 of the pairs at 0.8 (58 bits differ, give or take 7);
+#: documents of a block that whole texts have often refuted ask with the others.
 RADII = (79, 68, 58, 48, 40)
 #: Tasks over which the candidates of one document are dealt, at most.
 SALTS = 256
@@ -46,6 +51,12 @@ BLOCK, BLOCK_SHINGLES, OUT = 8192, 4_000_000, 1 << 15
 PATIENCE = 8
 #: Members up to which a shard is screened for neighbours before it has a tree.
 SCREEN = 512
+#: Texts of a block from which a shingle they share counts as frequent, and frequent ones that are ordered last.
+FREQUENT, FREQUENT_KEPT = 16, 50_000
+#: Documents that the first search finds, up to which they are sent to all tasks.
+SENT = 200_000
+#: Bins in which shingles are counted, up to 255.
+BINS = 256
 _CHUNK = 255 * 16
 _random = np.random.default_rng(42)
 _MASKS = _random.integers(0, 1 << 64, WORDS, np.uint64)
@@ -96,12 +107,16 @@ def block_plan(documents: int, least: float = LEAST, recall: float = RECALL) ->
 
 _FINGER = [f"f{w}" for w in range(WORDS)]
 _PRINTS = pa.schema([(c, pa.int64()) for c in ("i", "h", "n", *_FINGER)])
+#: With the sorted shingles and how many stand in each of BINS bins; a block's first document has the block's frequent ones, and in how many texts each is.
+_WHOLE = pa.schema([*_PRINTS, ("s", pa.binary()), ("b", pa.binary()), ("frequent", pa.binary())])
+_FREQUENT = pa.schema([("g", pa.int64()), ("c", pa.int64())])
+_PLACES = pa.schema([(c, pa.int64()) for c in ("g", "i", "h", "x")])
 _ROWS = pa.schema([(c, pa.int64()) for c in ("key", "i", "h", "n", *_FINGER)])
 _PAIRS = pa.schema([(c, pa.int64()) for c in ("i", "h", "li", "lh")])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{c} long" for c in schema.names)
+    return ", ".join(f"{c.name} {'binary' if c.type == pa.binary() else 'long'}" for c in schema)
 
 
 def _keys(rows: np.ndarray, bits: int, tables: int) -> np.ndarray:
@@ -196,6 +211,17 @@ def _given(columns: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, c])) for c in range(len(schema))], schema=schema)
 
 
+def _common(sets: list[np.ndarray]) -> bytes:
+    """Shingles that many of the sets have, each with their number."""
+    found, count = np.unique(np.concatenate(sets), return_counts=True)
+    often = count >= FREQUENT
+    return np.stack([found[often].view(np.int64), count[often]], axis=1).tobytes()
+
+
+def _binned(found: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((found % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def _stacked(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
         if batch.num_rows:
@@ -210,7 +236,7 @@ def _shard_rows(prints: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray,
 
 
 def _printed(size: int, least: float, bits: int, tables: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(i, h, t) to fingerprints; n = 0 for copies of another document of the block."""
+    """(i, h, t) to fingerprints and shingles; n = 0 for copies of another document of the block."""
 
     def block(nodes: list[tuple[int, int]], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         prints = np.zeros((len(nodes), 3 + WORDS), np.int64)
@@ -222,7 +248,11 @@ def _printed(size: int, least: float, bits: int, tables: int) -> Callable[[Itera
         prints, sets = prints[first], [sets[x] for x in first.tolist()]
         rows, document = _shard_rows(prints, bits, tables)
         prints[list(_own_copies(rows, document, sets, least)), 2] = 0
-        yield from _given(prints, _PRINTS)
+        common = _common(sets)
+        for a in range(0, len(prints), ROWS):
+            b = min(a + ROWS, len(prints))
+            whole = [pa.array([x.tobytes() for x in sets[a:b]], pa.binary()), pa.array([_binned(x) for x in sets[a:b]], pa.binary()), pa.array([common if x == 0 else None for x in range(a, b)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in prints[a:b].T], *whole], schema=_WHOLE)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, sets, held = [], [], 0
@@ -247,6 +277,22 @@ def _dealt(bits: int, tables: int) -> Callable[[Iterable[pa.RecordBatch]], Itera
     return run
 
 
+def _whole_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows sorted by their first column, in parts that hold all rows of each of its values."""
+    held: list[np.ndarray] = []  # of the key that the next batch may go on with
+    for rows in _stacked(batches):
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        if held and (last or held[-1][-1, 0] != rows[0, 0]):
+            # the open key ends in this batch, or before it
+            yield np.concatenate([*held, rows[:last]])
+            held = []
+        elif last:
+            yield rows[:last]
+        held.append(rows[last:])
+    if held:
+        yield np.concatenate(held)
+
+
 def _across_blocks(radius: int, least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From shard rows sorted by key, i, h to pairs (document, smaller neighbour)."""
 
@@ -256,18 +302,8 @@ def _across_blocks(radius: int, least: float) -> Callable[[Iterable[pa.RecordBat
             yield from _given(np.unique(np.concatenate([rows[member, 1:3], rows[lead, 1:3]], axis=1), axis=0), _PAIRS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # of the shard that the next batch may go on with
-        for rows in _stacked(batches):
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            if held and (last or held[-1][-1, 0] != rows[0, 0]):
-                # the open shard ends in this batch, or before it
-                yield from shards(np.concatenate([*held, rows[:last]]))
-                held = []
-            elif last:
-                yield from shards(rows[:last])
-            held.append(rows[last:])
-        if held:
-            yield from shards(np.concatenate(held))
+        for rows in _whole_keys(batches):
+            yield from shards(rows)
 
     return run
 
@@ -283,34 +319,145 @@ def candidates(prints: DataFrame, radius: int, bits: int, tables: int, least: fl
     return rows.mapInArrow(_across_blocks(radius, least), _ddl(_PAIRS)).distinct()
 
 
-_NODES = pa.schema([("i", pa.int64()), ("h", pa.int64())])
+def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (found,) in rows_of(batches):
+        yield from _given(np.frombuffer(found, np.int64).reshape(-1, 2), _FREQUENT)
+
+
+def _prefix(found: np.ndarray, least: float, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a text's sorted ones, of which one at least is among the first of any
+    similar text's: by value, but those of ``last`` (sorted) behind all others, by their rank."""
+    most = len(found) - math.ceil(least * len(found) - 1e-6) + 1
+    if not len(last):
+        return found[:most]
+    at = np.minimum(np.searchsorted(last, found), len(last) - 1)
+    behind = last[at] == found
+    return np.concatenate([found[~behind][:most], found[behind][np.argsort(rank[at[behind]])]])[:most]
+
+
+def _placed(least: float, last: np.ndarray, rank: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (i, h, open, s) to the prefix's shingles with (size, place, open) as one number."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held = [], 0
+        for i, h, open_, found in rows_of(batches):
+            found = np.frombuffer(found, np.uint64)
+            first = _prefix(found, least, last, rank)
+            rows = np.empty((len(first), 4), np.int64)
+            rows[:, 0], rows[:, 1], rows[:, 2] = first.view(np.int64), i, h
+            rows[:, 3] = (len(found) << 32) | (np.arange(len(first)) << 1) | open_
+            made.append(rows)
+            held += len(rows)
+            if held >= OUT:
+                yield from _given(np.concatenate(made), _PLACES)
+                made, held = [], 0
+        if made:
+            yield from _given(np.concatenate(made), _PLACES)
+
+    return run
+
+
+def _may_be_similar(rows: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which of the places a, b in rows (g, i, h, x) are of documents that may be similar, if g is the
+    first shingle that they share: b is open and another document, and enough shingles are left to both."""
+    xa, xb = rows[a, 3], rows[b, 3]
+    n, m = xa >> 32, xb >> 32
+    left = np.minimum(n - ((xa & 0xFFFFFFFF) >> 1), m - ((xb & 0xFFFFFFFF) >> 1))
+    fit = (xb & 1 == 1) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-6) & (left >= least / (1 + least) * (n + m) - 1e-6)
+    return fit & (rows[a, 1:3] != rows[b, 1:3]).any(axis=1)
+
 
+def _meeting(rows: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of smaller documents, of larger ones) that meet in rows sorted by g, i, h and may be similar."""
+    new = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+    ends = np.append(new[1:], len(rows))
+    sizes = ends - new
+    for start, end in zip(new[sizes > SCREEN].tolist(), ends[sizes > SCREEN].tolist(), strict=True):
+        for b in (start + np.flatnonzero(rows[start:end, 3] & 1)).tolist():
+            a = np.arange(start, b)
+            b = np.full(len(a), b)
+            fit = _may_be_similar(rows, a, b, least)
+            yield a[fit], b[fit]
+    end = np.repeat(ends, sizes)
+    left, d = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SCREEN), sizes)), 1
+    while len(left := left[end[left] > left + d]):
+        fit = _may_be_similar(rows, left, left + d, least)
+        yield left[fit], left[fit] + d
+        d += 1
 
-def _alike(size: int, least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (li, lh, salt, member, i, h, t) sorted so that a leader stands before its members:
-    the members that are similar to it."""
 
+def _met(least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sink, lead = Sink(_NODES), None
-        for _, _, _, member, i, h, text in rows_of(batches, 64):
-            found = shingles(text, size)
+        for rows in _whole_keys(batches):
+            held, count = [], 0
+            for a, b in _meeting(rows, least):
+                held.append(np.concatenate([rows[b, 1:3], rows[a, 1:3]], axis=1))
+                count += len(a)
+                if count >= OUT:
+                    yield from _given(np.unique(np.concatenate(held), axis=0), _PAIRS)
+                    held, count = [], 0
+            if count:
+                yield from _given(np.unique(np.concatenate(held), axis=0), _PAIRS)
+
+    return run
+
+
+def all_candidates(sets: DataFrame, frequent: DataFrame, least: float = LEAST) -> DataFrame:
+    """(i, h, li, lh): all pairs of an open document and a smaller one that may be similar, of
+    documents (i, h, open, s: sorted shingles); frequent (g, c): shingles and in how many texts."""
+    often = frequent.groupBy("g").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "g").limit(FREQUENT_KEPT).toPandas()
+    last = often["g"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(last)
+    rank = np.arange(len(last), 0, -1)[order]  # the most frequent come last of all
+    rows = sets.select("i", "h", "open", "s").mapInArrow(_placed(least, last[order], rank), _ddl(_PLACES))
+    return rows.repartition("g").sortWithinPartitions("g", "i", "h").mapInArrow(_met(least), _ddl(_PAIRS)).distinct()
+
+
+def _alike(test: Callable[[bytes, bytes], bool]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (li, lh, salt, member, i, h, what) sorted so that a leader stands before its members:
+    the pairs (member, leader) that pass the test."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink, lead = Sink(_PAIRS), b""
+        for li, lh, _, member, i, h, what in rows_of(batches, 64):
             if not member:
-                lead = found
-            elif similarity(lead, found) >= least:
-                yield from sink.add((i, h))
+                lead = what
+            elif test(lead, what):
+                yield from sink.add((i, h, li, lh))
         yield from sink.end()
 
     return run
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """(i, h) of the pairs' documents that are similar to what they follow."""
+def _passing(pairs: DataFrame, what: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs that pass a test of what (i, h, what) has of both documents."""
     pairs = pairs.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)))
-    members = pairs.join(texts, ["i", "h"]).select("li", "lh", "salt", F.lit(1).alias("member"), "i", "h", "t")
-    leads = pairs.select("li", "lh", "salt").distinct().join(texts.withColumnsRenamed({"i": "li", "h": "lh"}), ["li", "lh"])
-    leads = leads.select("li", "lh", "salt", F.lit(0).alias("member"), F.col("li").alias("i"), F.col("lh").alias("h"), "t")
+    members = pairs.join(what, ["i", "h"]).select("li", "lh", "salt", F.lit(1).alias("member"), "i", "h", "what")
+    leads = pairs.select("li", "lh", "salt").distinct().join(what.withColumnsRenamed({"i": "li", "h": "lh"}), ["li", "lh"])
+    leads = leads.select("li", "lh", "salt", F.lit(0).alias("member"), F.col("li").alias("i"), F.col("lh").alias("h"), "what")
     dealt = members.unionByName(leads).repartition("li", "lh", "salt").sortWithinPartitions("li", "lh", "salt", "member")
-    return dealt.mapInArrow(_alike(size, least), "i long, h long").distinct()
+    return dealt.mapInArrow(_alike(test), _ddl(_PAIRS)).distinct()
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """(i, h) of the pairs' documents that are similar to what they follow.
+
+    Sets differ in as many shingles at least as their counts by bins do, so most pairs are
+    refuted by these, and whole sets are sent for the rest.
+    """
+    most = (1 - least) / (1 + least)
+
+    def by_bins(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+        return np.abs(x - y).sum() <= most * (x.sum() + y.sum() + 1e-3) or max(x.max(), y.max()) == 255
+
+    def by_sets(a: bytes, b: bytes) -> bool:
+        return similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least
+
+    pairs = written(_passing(pairs, prints.select("i", "h", F.col("b").alias("what")), by_bins), "by-bins")
+    named = pairs.select("i", "h").unionByName(pairs.select(F.col("li").alias("i"), F.col("lh").alias("h"))).distinct()
+    sets = small_join(prints.select("i", "h", F.col("s").alias("what")), written(named, "named"), ["i", "h"], "left_semi", salts=1)
+    return written(_passing(pairs, sets, by_sets).select("i", "h").distinct(), "similar")
 
 
 def _node(ident: Column, text: Column) -> list[Column]:
@@ -323,8 +470,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEA
 
     * similar: a Jaccard similarity of at least ``least`` over distinct runs of ``shingle``
       words (a shorter text is one run), words as SimHash has them; whole texts decide;
-    * what goes is similar to a smaller document, which stays or is itself similar to one (which
-      of several, and so which of a chain's inner ones go, depends on how the input is dealt);
+    * each document goes that is similar to any smaller one, whether that one stays or goes too;
     * texts without words (null and empty ones too) are similar to each other; rows that repeat
       an id and a text stay or go together; rows without an id come last, by their text's
       digest; rows with one id and different texts are different documents;
@@ -332,22 +478,15 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEA
     """
     node = _node(F.col(id_col), F.col(text_col))
     bits, tables = block_plan(docs.count(), least)
-    base = docs.select(*node, F.col(text_col).alias("t")).mapInArrow(_printed(shingle, least, bits, tables), _ddl(_PRINTS))
+    base = docs.select(*node, F.col(text_col).alias("t")).mapInArrow(_printed(shingle, least, bits, tables), _ddl(_WHOLE))
     prints = written(base, "wide-fingerprints")
-    gone = prints.filter("n = 0").select("i", "h")
-    open_, texts = prints.filter("n > 0"), None
-    for radius in RADII:
-        pairs = written(candidates(open_, radius, bits, tables, least), "candidates")
-        if not pairs.limit(1).count():
-            break
-        if texts is None:
-            named = pairs.select("i", "h").unionByName(pairs.select(F.col("li").alias("i"), F.col("lh").alias("h"))).distinct()
-            named = written(named, "named")
-            texts = small_join(docs.select(*node, F.col(text_col).alias("t")), named, ["i", "h"], "left_semi", salts=1)
-            texts = written(texts.dropDuplicates(["i", "h"]), "candidate-texts")
-        found = written(_similar(pairs, texts, shingle, least), "similar")
-        gone = gone.unionByName(found)
-        undecided = pairs.select("i", "h").distinct().join(found, ["i", "h"], "left_anti")
-        open_ = written(open_.join(undecided, ["i", "h"], "left_semi"), "undecided")
+    pairs = written(candidates(prints.filter("n > 0"), RADII[0], bits, tables, least), "candidates")
+    found = _similar(pairs, prints, least)
+    # what that search left out: all the rest, by an exact rule
+    sets = small_join(prints, found.withColumn("gone", F.lit(1)), ["i", "h"], "left", salts=1, most=SENT)
+    sets = sets.select("i", "h", F.when((F.col("n") > 0) & F.col("gone").isNull(), 1).otherwise(0).cast("long").alias("open"), "s")
+    frequent = prints.filter("frequent is not null").select("frequent").mapInArrow(_frequent, _ddl(_FREQUENT))
+    pairs = written(all_candidates(sets, frequent, least), "all-candidates")
+    gone = prints.filter("n = 0").select("i", "h").unionByName(found).unionByName(_similar(pairs, prints, least))
     out = small_join(docs.select(F.struct("*").alias("doc"), *node), written(gone.distinct(), "gone"), ["i", "h"], "left_anti", salts=1)
     return out.select("doc.*")
