@@ -90,3 +90,24 @@ def test_authors():
 def test_fuzzy(spark):
     got = one(spark, T.fuzzy_score(F.col("a"), F.col("b")), ("doc", "My Doc"), ("ac", "abc"), ("z", "abc"), ("", "x"), ("ml", "machine learning"), ("abc", "ab"))
     assert got == [127, 10, None, 0, 18, None]
+
+
+def test_gram_counts_exchange_no_row_for_each_page(spark, monkeypatch):
+    """A page's occurrences meet where they are made; only a task's own n-grams are exchanged."""
+    import re
+
+    from tomeloom.operators import mining
+
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(mining, "written", written)
+    pages = spark.createDataFrame([("b", i % 7, "A red Wolf ran. The red wolf, the Red Wolf.") for i in range(20)], "book_key string, page long, text string")
+    out = mining.gram_counts(pages, ("the",), 2)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert not [x for plan in plans for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan) if "key#" in x and "page#" in x]
+    got = {r.key: (r.freq, r.page_count, r.display) for r in out.collect()}
+    assert got["red wolf"][:2] == (60, 7)
