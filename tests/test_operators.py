@@ -223,3 +223,21 @@ def test_glossary_texts_are_not_repeated(spark):
     long = glossary.match_glossary(texts, spark.createDataFrame([(t,) for t in [*terms, *(f"x{i}" for i in range(99))]], "term string"))
     assert {tuple(r) for r in long.collect()} == want
     assert glossary.match_glossary(texts, spark.createDataFrame([], "term string")).count() == 0
+
+
+def test_lookup_pairs_do_not_carry_all_books(spark):
+    """A concept of many books: pairs carry two of them, hits nine, and the block is as before."""
+    from pyspark.sql import functions as F
+
+    from tomeloom.operators import graph
+
+    books = [f"b{i:04d}" for i in range(300)]
+    nodes = spark.createDataFrame([("n:red wolf", "term", "Red wolf", "Told.", 50.0, books, {b: [1, 2] for b in books})], "id string, kind string, label string, gloss string, weight double, books array<string>, pages map<string,array<int>>")
+    questions = spark.createDataFrame([(1, "What is the red wolf?", "b0001"), (2, "What is the red wolf?", "other")], "q_id int, q string, open_book string")
+    hits = graph.graph_lookup(questions, nodes)
+    assert "slice(array_distinct(books" in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert hits.count() == 2
+    table = spark.createDataFrame([(b, b.upper(), "p", "book") for b in books], "book_key string, title string, path string, prov string")
+    shares = spark.createDataFrame([], "a string, b string, weight double")
+    blocks = {r.q_id: r.block for r in graph.lookup_block(hits, nodes, table, shares, questions.select("q_id", "open_book")).collect()}
+    assert "«B0000»" in blocks[1] and "«B0001»" not in blocks[1].split("In: ")[1] and "«B0001»" in blocks[2] and "Told" in blocks[1] and "Told" not in blocks[2]
