@@ -241,3 +241,14 @@ def test_lookup_pairs_do_not_carry_all_books(spark):
     shares = spark.createDataFrame([], "a string, b string, weight double")
     blocks = {r.q_id: r.block for r in graph.lookup_block(hits, nodes, table, shares, questions.select("q_id", "open_book")).collect()}
     assert "«B0000»" in blocks[1] and "«B0001»" not in blocks[1].split("In: ")[1] and "«B0001»" in blocks[2] and "Told" in blocks[1] and "Told" not in blocks[2]
+
+
+def test_outline_compares_equal_texts_once(spark):
+    """Two texts are compared once, whatever the number of pages and rows that have them."""
+    from tomeloom.operators import translation
+
+    outline = spark.createDataFrame([("b", i, i % 5, "Red wolves") for i in range(40)], "book_key string, id int, page int, title string")
+    heads = spark.createDataFrame([("b", i % 5, i, "Red wolves." if i < 20 else "Else", f"t{i}") for i in range(40)], "book_key string, page int, idx int, text string, tr string")
+    out = translation.match_outline(outline, heads)
+    assert "keys=[t#" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.tr) for r in out.collect()} == {(i, f"t{i % 5}") for i in range(40)}

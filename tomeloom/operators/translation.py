@@ -141,11 +141,20 @@ def export_html(paragraphs: DataFrame, body: DataFrame, cited: Callable[[Column]
 
 
 def match_outline(outline: DataFrame, paragraphs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """(book_key, id, tr): an outline row's translation from the most similar heading on its page."""
-    heads = paragraphs.select("book_key", "page", "idx", "text", "tr").filter("tr <> ''")
-    pairs = outline.select("book_key", "id", "page", T.out_norm(F.col("title")).alias("t")).join(heads, ["book_key", "page"])
-    rows = pairs.withColumn("sim", T.dice(F.col("t"), T.out_norm(F.col("text")))).filter(F.col("sim") >= threshold)
-    return rows.groupBy("book_key", "id").agg(F.max_by("tr", F.struct(F.col("sim"), -F.col("idx"))).alias("tr"))
+    """(book_key, id, tr): an outline row's translation from the most similar heading on its page.
+
+    Equal titles and equal headings of a page meet once, and two texts are compared once, however
+    many pages have them.
+    """
+    heads = paragraphs.filter("tr <> ''").select("book_key", "page", "idx", "tr", T.out_norm(F.col("text")).alias("n"))
+    heads = heads.groupBy("book_key", "page", "n").agg(F.min("idx").alias("idx"), F.min_by("tr", "idx").alias("tr"))
+    titles = outline.select("book_key", "id", "page", T.out_norm(F.col("title")).alias("t"))
+    pairs = titles.select("book_key", "page", "t").distinct().join(heads, ["book_key", "page"])
+    alike = pairs.select("t", "n").distinct().withColumn("sim", T.dice(F.col("t"), F.col("n"))).filter(F.col("sim") >= threshold)
+    best = pairs.join(alike, ["t", "n"]).groupBy("book_key", "page", "t").agg(F.max(F.struct(F.col("sim"), (-F.col("idx")).alias("place"), F.col("tr").alias("tr"))).alias("b"))
+    # an id that stands on several pages takes the best of them
+    rows = titles.join(best, ["book_key", "page", "t"])
+    return rows.groupBy("book_key", "id").agg(F.max_by("b.tr", F.struct("b.sim", "b.place")).alias("tr"))
 
 
 def eta(progress: DataFrame) -> DataFrame:
