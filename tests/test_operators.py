@@ -252,3 +252,16 @@ def test_outline_compares_equal_texts_once(spark):
     out = translation.match_outline(outline, heads)
     assert "keys=[t#" in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.id, r.tr) for r in out.collect()} == {(i, f"t{i % 5}") for i in range(40)}
+
+
+def test_prompts_are_put_together_where_their_texts_are(spark):
+    texts = spark.createDataFrame([(1, "The Cat, and the dog"), (2, "nothing"), (3, None), (4, "Dogs and cat")], "text_id int, text string")
+    terms = spark.createDataFrame([("the", "le", 2), ("cat", "chat", 1), ("cat", "chatte", 1), ("dog", None, 0), ("--", "x", 0)], "term string, translation string, seq int")
+    prompts = glossary.build_prompts(texts, terms, "French")
+    plan = prompts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    ask = "Translate the following segment into French, without additional explanation.\n\n"
+    got = {r["text_id"]: r["prompt"] for r in prompts.collect()}
+    assert got == {1: f"Use these translations:\ndog\ncat = chat\ncat = chatte\nthe = le\n\n{ask}The Cat, and the dog", 2: f"{ask}nothing", 3: None, 4: f"Use these translations:\ncat = chat\ncat = chatte\n\n{ask}Dogs and cat"}
+    many = terms.unionByName(spark.range(glossary.LISTED).selectExpr("concat('w', id) AS term", "'x' AS translation", "9 AS seq"))
+    assert {r["text_id"]: r["prompt"] for r in glossary.build_prompts(texts, many, "French").collect()} == got
