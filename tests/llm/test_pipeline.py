@@ -91,3 +91,24 @@ def test_near_stage_drops_copies_at_080_to_095(spark):
     assert not kept & gone and stay <= kept and set(range(120)) <= kept
     assert None in kept
 
+
+
+def test_near_makes_its_shard_rows_without_copies_of_them():
+    """Workers' memory is bounded: what makes the rows of a block's shards takes less than twice their size."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tomeloom.llm import near
+
+    prints = np.random.default_rng(0).integers(0, 1 << 62, (4000, 3 + near.WORDS), np.int64)
+    bits, tables = near.block_plan(len(prints))
+    tracemalloc.start()
+    rows, document = near._shard_rows(prints, bits, tables)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.8 * rows.nbytes
+    assert (rows[:, 1:] == prints[document]).all() and (near._keys(prints, bits, tables)[document].T == rows[:, 0]).any(axis=0).all()
+    order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+    assert (order == np.arange(len(rows))).all()
+    assert list(near.released(lambda batches: iter(batches))([1, 2])) == [1, 2]

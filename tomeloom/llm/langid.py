@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeloom.llm.arrow import Sink, rows_of
+from tomeloom.llm.arrow import Sink, released, rows_of
 from tomeloom.llm.store import small_join, written
 
 ORDER = 4
@@ -309,4 +309,4 @@ def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 part = batch.slice(at, 512)
                 yield part.filter(pa.array([not r[3] for r in shared.value.judge(part.column(place).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeloom.llm.arrow import ROWS, Sink, rows_of
+from tomeloom.llm.arrow import ROWS, Sink, release, released, rows_of
 from tomeloom.llm.simhash import BKTree, shingle_hashes
 from tomeloom.llm.store import small_join, written
 
@@ -121,13 +121,13 @@ def _ddl(schema: pa.Schema) -> str:
 
 def _keys(rows: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """A row of shard keys for each of (i, h, n, words): the table's number, then its block."""
-    unpacked = np.unpackbits(np.ascontiguousarray(rows[:, 3:]).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+    unpacked = np.unpackbits(np.ascontiguousarray(rows[:, 3:]).view(np.uint8), axis=1, bitorder="little")
     powers = np.int64(1) << np.arange(bits, dtype=np.int64)
     if bits * tables <= WIDTH:
         starts = np.arange(tables) * bits
     else:
         starts = np.arange(tables) * (WIDTH - bits) // max(1, tables - 1)
-    return np.stack([(np.int64(t) << np.int64(bits)) | (unpacked[:, s : s + bits] @ powers) for t, s in enumerate(starts.tolist())], axis=1)
+    return np.stack([(np.int64(t) << np.int64(bits)) | (unpacked[:, s : s + bits].astype(np.int64) @ powers) for t, s in enumerate(starts.tolist())], axis=1)
 
 
 def _close(rows: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, least: float) -> np.ndarray:
@@ -230,9 +230,15 @@ def _stacked(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 def _shard_rows(prints: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows sorted by key, i, h; the place in prints that each is of)."""
-    rows = np.concatenate([_keys(prints, bits, tables).reshape(-1, 1), np.repeat(prints, tables, axis=0)], axis=1)
-    order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
-    return rows[order], order // tables
+    keys = _keys(prints, bits, tables).ravel()
+    document = np.repeat(np.arange(len(prints)), tables)
+    order = np.lexsort((prints[document, 1], prints[document, 0], keys))
+    document = document[order]
+    rows = np.empty((len(order), 1 + prints.shape[1]), np.int64)
+    rows[:, 0] = keys[order]
+    for c in range(prints.shape[1]):
+        rows[:, 1 + c] = prints[document, c]
+    return rows, document
 
 
 def _printed(size: int, least: float, bits: int, tables: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -248,6 +254,7 @@ def _printed(size: int, least: float, bits: int, tables: int) -> Callable[[Itera
         prints, sets = prints[first], [sets[x] for x in first.tolist()]
         rows, document = _shard_rows(prints, bits, tables)
         prints[list(_own_copies(rows, document, sets, least)), 2] = 0
+        del rows, document
         common = _common(sets)
         for a in range(0, len(prints), ROWS):
             b = min(a + ROWS, len(prints))
@@ -263,6 +270,7 @@ def _printed(size: int, least: float, bits: int, tables: int) -> Callable[[Itera
             if len(nodes) >= BLOCK or held >= BLOCK_SHINGLES:
                 yield from block(nodes, sets)
                 nodes, sets, held = [], [], 0
+                release()
         if nodes:
             yield from block(nodes, sets)
 
@@ -314,9 +322,9 @@ def candidates(prints: DataFrame, radius: int, bits: int, tables: int, least: fl
     Of any two that share a block and differ in at most ``radius`` bits, either the larger is
     a candidate of the smaller, or one of them is a candidate of a third.
     """
-    rows = prints.select(_PRINTS.names).mapInArrow(_dealt(bits, tables), _ddl(_ROWS))
+    rows = prints.select(_PRINTS.names).mapInArrow(released(_dealt(bits, tables)), _ddl(_ROWS))
     rows = rows.repartition("key").sortWithinPartitions("key", "i", "h")
-    return rows.mapInArrow(_across_blocks(radius, least), _ddl(_PAIRS)).distinct()
+    return rows.mapInArrow(released(_across_blocks(radius, least)), _ddl(_PAIRS)).distinct()
 
 
 def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,8 +417,8 @@ def all_candidates(sets: DataFrame, frequent: DataFrame, least: float = LEAST) -
     last = often["g"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(last)
     rank = np.arange(len(last), 0, -1)[order]  # the most frequent come last of all
-    rows = sets.select("i", "h", "open", "s").mapInArrow(_placed(least, last[order], rank), _ddl(_PLACES))
-    return rows.repartition("g").sortWithinPartitions("g", "i", "h").mapInArrow(_met(least), _ddl(_PAIRS)).distinct()
+    rows = sets.select("i", "h", "open", "s").mapInArrow(released(_placed(least, last[order], rank)), _ddl(_PLACES))
+    return rows.repartition("g").sortWithinPartitions("g", "i", "h").mapInArrow(released(_met(least)), _ddl(_PAIRS)).distinct()
 
 
 def _alike(test: Callable[[bytes, bytes], bool]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -436,7 +444,7 @@ def _passing(pairs: DataFrame, what: DataFrame, test: Callable[[bytes, bytes], b
     leads = pairs.select("li", "lh", "salt").distinct().join(what.withColumnsRenamed({"i": "li", "h": "lh"}), ["li", "lh"])
     leads = leads.select("li", "lh", "salt", F.lit(0).alias("member"), F.col("li").alias("i"), F.col("lh").alias("h"), "what")
     dealt = members.unionByName(leads).repartition("li", "lh", "salt").sortWithinPartitions("li", "lh", "salt", "member")
-    return dealt.mapInArrow(_alike(test), _ddl(_PAIRS)).distinct()
+    return dealt.mapInArrow(released(_alike(test)), _ddl(_PAIRS)).distinct()
 
 
 def _similar(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
@@ -478,14 +486,14 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEA
     """
     node = _node(F.col(id_col), F.col(text_col))
     bits, tables = block_plan(docs.count(), least)
-    base = docs.select(*node, F.col(text_col).alias("t")).mapInArrow(_printed(shingle, least, bits, tables), _ddl(_WHOLE))
+    base = docs.select(*node, F.col(text_col).alias("t")).mapInArrow(released(_printed(shingle, least, bits, tables)), _ddl(_WHOLE))
     prints = written(base, "wide-fingerprints")
     pairs = written(candidates(prints.filter("n > 0"), RADII[0], bits, tables, least), "candidates")
     found = _similar(pairs, prints, least)
     # what that search left out: all the rest, by an exact rule
     sets = small_join(prints, found.withColumn("gone", F.lit(1)), ["i", "h"], "left", salts=1, most=SENT)
     sets = sets.select("i", "h", F.when((F.col("n") > 0) & F.col("gone").isNull(), 1).otherwise(0).cast("long").alias("open"), "s")
-    frequent = prints.filter("frequent is not null").select("frequent").mapInArrow(_frequent, _ddl(_FREQUENT))
+    frequent = prints.filter("frequent is not null").select("frequent").mapInArrow(released(_frequent), _ddl(_FREQUENT))
     pairs = written(all_candidates(sets, frequent, least), "all-candidates")
     gone = prints.filter("n = 0").select("i", "h").unionByName(found).unionByName(_similar(pairs, prints, least))
     out = small_join(docs.select(F.struct("*").alias("doc"), *node), written(gone.distinct(), "gone"), ["i", "h"], "left_anti", salts=1)
