@@ -96,3 +96,21 @@ def test_shapes(spark):
     assert one(spark, desk.code_shaped(F.col("a")), *[(c,) for c in code]) == list(code.values())
     captions = {"Figure 3: A wolf": True, "Figure 3 shows a wolf": False, "Table 2.1 Results": True, "Tables": False}
     assert one(spark, desk.is_caption(F.col("a")), *[(c,) for c in captions]) == list(captions.values())
+
+
+def test_pictures_of_many_pages_are_read_in_order_without_a_group_each(spark):
+    def op(k, n, name, args):
+        return (f"b{k}", 1, n, name, args)
+
+    rows = [op(k, *x) for k in range(300) for x in ((3, "image", None), (1, "save", None), (2, "transform", [1.0 + k, 0.0, 0.0, 2.0, 3.0, 4.0]), (2, "unknown", None), (4, "restore", None), (5, "image", None), (6, "transform", [1.0]), (7, "image", [1.0]))]
+    rows = spark.createDataFrame(rows + [op("x", 1, "image", None)], "book_key string, page long, seq int, op string, args array<double>").repartition(7)
+    views = spark.createDataFrame([(f"b{k}", 1, [1.0, 0.0, 0.0, -1.0, 0.0, 800.0]) for k in range(300)], "book_key string, page long, view array<double>")
+    out = desk.image_boxes(rows, views)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Join" not in plan
+    want = sorted(x for k in range(300) for x in ((f"b{k}", 1, 3.0, 794.0, 1.0 + k, 2.0), (f"b{k}", 1, 0.0, 799.0, 1.0, 1.0), (f"b{k}", 1, 0.0, 799.0, 1.0, 1.0)))
+    assert sorted(map(tuple, out.collect())) == want
+    same = [("b", 1, 1, o, a) for o, a in (("transform", [2.0, 0.0, 0.0, 2.0, 0.0, 0.0]), ("image", None))]  # one seq
+    view = views.limit(1).selectExpr("'b' AS book_key", "page", "view")
+    for order in (same, same[::-1]):
+        assert [r.w for r in desk.image_boxes(spark.createDataFrame(order, rows.schema), view).collect()] == [1.0]

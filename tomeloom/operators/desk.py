@@ -3,8 +3,10 @@ shapes of text that are no prose, boxes of pictures, the flow of a page."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator, Sequence
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,30 +159,61 @@ def image_boxes(operations: DataFrame, viewports: DataFrame) -> DataFrame:
     seq, op, args) and viewports (book_key, page, view: six numbers).
 
     save and restore keep a stack of transforms; form_begin saves too, with a transform of its own.
-    A page's operations are one group, which its length bounds.
+    A page's operations come to one task in order, behind its viewport, and are read one after the
+    other: no page is a group of its own, so many short ones cost no more than a long one.  A page
+    without a viewport of six numbers shows nothing; operations of one seq follow by name and numbers.
     """
-
-    def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.array([a[0] * b[0] + a[2] * b[1], a[1] * b[0] + a[3] * b[1], a[0] * b[2] + a[2] * b[3], a[1] * b[2] + a[3] * b[3], a[0] * b[4] + a[2] * b[5] + a[4], a[1] * b[4] + a[3] * b[5] + a[5]])
-
-    def walk(df: pd.DataFrame) -> pd.DataFrame:
-        now, stack, out = np.array([1.0, 0, 0, 1, 0, 0]), [], []
-        for op, args, view in df.sort_values("seq")[["op", "args", "view"]].itertuples(index=False):
-            given = args is not None and len(args) == 6
-            if op in ("save", "form_begin"):
-                stack.append(now)
-            if op in ("restore", "form_end"):
-                now = stack.pop() if stack else np.array([1.0, 0, 0, 1, 0, 0])
-            elif op in ("transform", "form_begin") and given:
-                now = times(now, np.asarray(args, float))
-            elif op == "image":
-                m = times(np.asarray(view, float), now)
-                xs, ys = np.array([0, m[0], m[2], m[0] + m[2]]) + m[4], np.array([0, m[1], m[3], m[1] + m[3]]) + m[5]
-                out.append((df["book_key"].iloc[0], int(df["page"].iloc[0]), xs.min(), ys.min(), np.ptp(xs), np.ptp(ys)))
-        return pd.DataFrame(out, columns=["book_key", "page", "x", "y", "w", "h"])
-
-    rows = operations.join(viewports, ["book_key", "page"])
-    return rows.groupBy("book_key", "page").applyInPandas(walk, "book_key string, page long, x double, y double, w double, h double")
+    keys = ["book_key", "page"]
+    seq = operations.schema["seq"].dataType
+    views = viewports.select(*keys, F.lit(0).alias("side"), F.lit(None).cast(seq).alias("seq"), F.lit(None).cast("string").alias("op"), F.col("view").cast("array<double>").alias("args"))
+    drawn = operations.filter(F.col("op").isin(*_DRAWING)).select(*keys, F.lit(1).alias("side"), "seq", "op", F.col("args").cast("array<double>").alias("args"))
+    rows = views.unionByName(drawn).filter("book_key is not null and page is not null").repartition(*keys).sortWithinPartitions(*keys, "side", "seq", "op", "args")
+    return rows.select(F.col("book_key").cast("string").alias("book_key"), F.col("page").cast("long").alias("page"), "side", "op", "args").mapInArrow(_boxes, _BOXES_DDL)
+
+
+_DRAWING = ("save", "restore", "form_begin", "form_end", "transform", "image")
+_BOXES = pa.schema([("book_key", pa.string()), ("page", pa.int64()), *[(c, pa.float64()) for c in "xywh"]])
+_BOXES_DDL = "book_key string, page long, x double, y double, w double, h double"
+_UPRIGHT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+
+
+def _times(a: Sequence[float], b: Sequence[float]) -> tuple[float, ...]:
+    return (a[0] * b[0] + a[2] * b[1], a[1] * b[0] + a[3] * b[1], a[0] * b[2] + a[2] * b[3], a[1] * b[2] + a[3] * b[3], a[0] * b[4] + a[2] * b[5] + a[4], a[1] * b[4] + a[3] * b[5] + a[5])
+
+
+def _boxes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (book_key, page, side, op, args), a page's viewport (side 0) before its operations in order."""
+    page, view, now, stack = None, None, _UPRIGHT, []
+    for whole in batches:
+        for start in range(0, whole.num_rows, 4096):
+            batch = whole.slice(start, 4096)
+            args = batch.column(4)
+            values = args.flatten().to_numpy(zero_copy_only=False).tolist()
+            sizes = np.nan_to_num(args.value_lengths().to_numpy(zero_copy_only=False)).astype(int).tolist()
+            found, at = [], 0
+            for b, p, side, op, n in zip(*[batch.column(c).to_pylist() for c in range(4)], sizes, strict=True):
+                given, at = values[at : at + n], at + n
+                if (b, p) != page:
+                    page, view, now, stack = (b, p), None, _UPRIGHT, []
+                if not side:
+                    view = given if n == 6 else None
+                elif view is None:
+                    continue
+                elif op == "image":
+                    found.append((b, p, _times(view, now)))
+                elif op in ("restore", "form_end"):
+                    now = stack.pop() if stack else _UPRIGHT
+                else:
+                    if op != "transform":
+                        stack.append(now)
+                    if op != "save" and n == 6:
+                        now = _times(now, given)
+            if found:
+                m = np.array([f[2] for f in found])
+                zero = np.zeros(len(m))
+                xs, ys = (np.stack([zero, m[:, i], m[:, i + 2], m[:, i] + m[:, i + 2]], axis=1) + m[:, i + 4, None] for i in (0, 1))
+                boxes = [xs.min(axis=1), ys.min(axis=1), np.ptp(xs, axis=1), np.ptp(ys, axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64()), *[pa.array(x, pa.float64(), from_pandas=True) for x in boxes]], schema=_BOXES)
 
 
 def flow(paragraphs: DataFrame, figures: DataFrame, body: DataFrame) -> DataFrame:
