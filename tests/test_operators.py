@@ -265,3 +265,28 @@ def test_prompts_are_put_together_where_their_texts_are(spark):
     assert got == {1: f"Use these translations:\ndog\ncat = chat\ncat = chatte\nthe = le\n\n{ask}The Cat, and the dog", 2: f"{ask}nothing", 3: None, 4: f"Use these translations:\ncat = chat\ncat = chatte\n\n{ask}Dogs and cat"}
     many = terms.unionByName(spark.range(glossary.LISTED).selectExpr("concat('w', id) AS term", "'x' AS translation", "9 AS seq"))
     assert {r["text_id"]: r["prompt"] for r in glossary.build_prompts(texts, many, "French").collect()} == got
+
+
+def test_streamed_counts_come_in_three_batches_that_keep_all_cores_busy(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from tomeloom.plans import incremental as plans
+    from tomeloom.streaming import incremental
+
+    spark.createDataFrame([(i, "Red wolves run.", "en", "a", 15) for i in range(100)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = {}
+
+    def stream_pages(spark, path, files=1):
+        asked.update(files=files, there=len(list(Path(path.removeprefix("file://")).glob("part-*"))))
+
+    def run_to_end(frame, checkpoint, each, mode):
+        each(spark.createDataFrame([("a", "run", 1, 2, 1), ("a", "red", 1, 3, 1)], "book_key string, key string, n int, freq long, non_init long"), 0)
+
+    monkeypatch.setattr(incremental, "stream_pages", stream_pages)
+    monkeypatch.setattr(incremental, "stream_ngram_counts", lambda pages, func: None)
+    monkeypatch.setattr(incremental, "run_to_end", run_to_end)
+    out = plans.stream_term_counts(spark, str(tmp_path))
+    cores = spark.sparkContext.defaultParallelism
+    assert asked["files"] >= cores and asked["there"] == 3 * asked["files"]
+    assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.key for r in out.collect()] == ["red"]

@@ -25,15 +25,19 @@ def stream_term_counts(spark, sf_dir):
     import uuid
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "documents").repartition(3).write.parquet(f"{base}/in")
-    counts = incremental.stream_ngram_counts(incremental.stream_pages(spark, f"{base}/in"), STOP.func)
+    docs = table(spark, sf_dir, "documents")
+    # three batches, each of as many files as keep all cores busy: a file is read by few tasks
+    files = max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    docs.repartition(3 * files).write.parquet(f"{base}/in")
+    counts = incremental.stream_ngram_counts(incremental.stream_pages(spark, f"{base}/in", files=files), STOP.func)
     last = []
 
     def keep(batch, number):
-        last[:] = [written(batch, f"batch-{number}")]
+        # a batch has all counts up to it; most n-grams stay below the floor and need not be written
+        last[:] = [written(batch.filter("freq >= 3"), f"batch-{number}")]
 
     incremental.run_to_end(counts, f"{base}/checkpoint", keep, mode="complete")
-    return last[0].filter("freq >= 3").select("book_key", "key", "n", "freq", "non_init")
+    return last[0].select("book_key", "key", "n", "freq", "non_init")
 
 
 QUERIES = {"ndjson_fold": ndjson_fold, "stream_term_counts": stream_term_counts}
