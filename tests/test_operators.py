@@ -290,3 +290,15 @@ def test_streamed_counts_come_in_three_batches_that_keep_all_cores_busy(spark, t
     assert asked["files"] >= cores and asked["there"] == 3 * asked["files"]
     assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [r.key for r in out.collect()] == ["red"]
+
+
+def test_many_pages_are_laid_out_without_a_group_each(spark):
+    rows = [(f"b{k % 3}", k, *p) for k in range(200) for p in items([(f"Page {k} has a line with a well-", 50, 700), ("known word.", 50, 688), ("", 50, 676)])]
+    rows = spark.createDataFrame(rows + [("none", 1, *items([("lost", 1, 1)])[0])], "book_key string, page int, item_no int, str string, transform array<double>, width double")
+    views = spark.createDataFrame([(f"b{k % 3}", k, [1.0, 0.0, 0.0, -1.0, 0.0, 800.0]) for k in range(200)], "book_key string, page int, view array<double>")
+    out = layout.cluster_paragraphs(rows.repartition(5), views, spark.createDataFrame([("b1", "well-known")], "book_key string, word string"))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {(f"b{k % 3}", k, 0, f"Page {k} has a line with a {'well-known' if k % 3 == 1 else 'wellknown'} word.") for k in range(200)}
+    assert {(r.book_key, r.page, r.idx, r.text) for r in out.collect()} == want
+    flat = pd.DataFrame([(0, "word", [10.0, 0.0, 0.0, 10.0, 5.0, 5.0], None)], columns=["item_no", "str", "transform", "width"])
+    assert layout.page_paragraphs(flat, np.array([1, 0, 0, -1, 0, 800.0]))["text"].to_list() == ["word"]  # no width
