@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns
 documents with the same columns; the last returns the packed pieces.  ``run`` writes each
-stage's result to the shared folder and gives it to the next.
+stage's result to the shared folder and gives it to the next.  Stages that send texts to Python
+make the session's Arrow batches small (``small_batches``), and leave them so.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tomeloom.llm import exact_dedup, langid, mixing, packing
 from tomeloom.llm import near as near_copies
+from tomeloom.llm.arrow import small_batches
 from tomeloom.llm.queries import tokenizer_path
 from tomeloom.llm.store import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models recognise; null texts and texts without a letter go."""
+    small_batches(spark)
     return langid.drop_rejected(docs)
 
 
@@ -29,6 +32,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without texts that share 0.8 of their five-word shingles with a smaller id's; rows without an
     id come last, and different texts of one id are different documents."""
+    small_batches(spark)
     return near_copies.drop_near_copies(docs)
 
 
@@ -40,6 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens; a null text is one end mark, and an empty table gives none."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 

@@ -112,3 +112,39 @@ def test_near_makes_its_shard_rows_without_copies_of_them():
     order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
     assert (order == np.arange(len(rows))).all()
     assert list(near.released(lambda batches: iter(batches))([1, 2])) == [1, 2]
+
+
+def test_text_goes_to_workers_in_small_batches(spark):
+    """An executor's memory holds batches of texts beside its heap: each is of some MB, whatever texts are like."""
+    import pyarrow as pa
+
+    from tomeloom.llm import arrow
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], ["n", "size"])
+
+    texts = spark.range(0, 3000, 1, 1).selectExpr("repeat(cast(id as string), 2000) as t")
+    before = spark.conf.get(arrow._BATCH)
+    try:
+        for name in ("language", "near", "packed"):
+            spark.conf.set(arrow._BATCH, before)
+            STAGES[name](spark, documents(spark), "")
+            rows = texts.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in rows) == 3000 and max(r.size for r in rows) < 2 * arrow.SENT_BYTES, name
+    finally:
+        spark.conf.set(arrow._BATCH, before)
+
+
+def test_workers_keep_no_tokenizer_for_other_stages():
+    from tomeloom.llm import arrow
+    from tomeloom.llm.queries import tokenizer_path
+    from tomeloom.llm.tokens import token_ids
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        made = token_ids(text := f.read())
+    assert token_ids(text) is made  # kept for the next task of packing
+    assert made("plain words, Plain words") == made.plain("plain words, Plain words")
+    assert "plain" in made.chunks and "plain" not in made.pieces  # a word is kept once
+    assert list(arrow.released(lambda batches: iter([*batches, len(arrow.kept)]))([7])) == [7, 0]
+    assert token_ids(text) is not made

@@ -13,6 +13,8 @@ import os
 import numpy as np
 import regex
 
+from tomeloom.llm.arrow import kept
+
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PIECES = regex.compile(_PATTERN)
 #: Above it, normalisation is left to the tokenizer; up to it there are no combining marks.
@@ -29,9 +31,13 @@ def _byte_letters() -> dict[int, str]:
 
 
 class TokenIds:
-    """Ids of texts, as bytes of little-endian unsigned 32-bit numbers."""
+    """Ids of texts, as bytes of little-endian unsigned 32-bit numbers.
+
+    A lower-case chunk of letters is its own piece and kept once.  Caches end just below the sizes
+    (two thirds of a power of two) at which dictionaries double.
+    """
 
-    def __init__(self, tokenizer_json: str, chunks: int = 400_000, pieces: int = 400_000):
+    def __init__(self, tokenizer_json: str, chunks: int = 170_000, pieces: int = 87_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -49,12 +55,14 @@ class TokenIds:
     def plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str, keep: bool = True) -> bytes:
         found = self.pieces.get(piece)
+        if found is None and piece.isalpha():
+            found = self.chunks.get(piece)  # a chunk of letters, in lower case, is one piece
         if found is None:
             spelt = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
             found = np.asarray([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
-            if len(self.pieces) < self.most[1]:
+            if keep and len(self.pieces) < self.most[1]:
                 self.pieces[piece] = found
         return found
 
@@ -64,7 +72,7 @@ class TokenIds:
         else:
             low = chunk.lower()
             if low.isalpha():
-                found = self._piece(low)
+                found = self._piece(low, low != chunk)
             elif low[:-1].isalpha() and low[-1] in ".,;:!?":
                 found = self._piece(low[:-1]) + self._piece(low[-1])
             else:
@@ -83,13 +91,10 @@ class TokenIds:
         return b"".join(found)
 
 
-_loaded: dict[int, TokenIds] = {}
-
-
 def token_ids(tokenizer_json: str) -> TokenIds:
     """One per worker process and tokenizer, so that its caches serve all its tasks."""
-    key = hash(tokenizer_json)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = TokenIds(tokenizer_json)
-    return _loaded[key]
+    key = ("tokenizer", hash(tokenizer_json))
+    if key not in kept:
+        kept.clear()
+        kept[key] = TokenIds(tokenizer_json)
+    return kept[key]
