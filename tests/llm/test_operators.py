@@ -170,6 +170,35 @@ def test_prefixes_of_similar_texts_meet():
             assert len(np.intersect1d(near._prefix(a, 0.8, last, rank), near._prefix(b, 0.8, last, rank)))
 
 
+def test_near_copies_leave_little_on_disk(spark, monkeypatch):
+    """Shingles of whole texts are not stored, steps' tables go when it ends, and many documents that are gone are joined."""
+    from pathlib import Path
+
+    from tomeloom.sources.tables import shared_dir
+
+    data = [(n, prose(n, 400)) for n in range(40)] + [(100 + n, prose(n, 400) + " more") for n in range(20)]
+    docs = documents(spark, [(i, t, None, None, None) for i, t in data])
+    at = Path(shared_dir(spark).removeprefix("file://")) / "tables"
+    for most in (near.SENT, 5):
+        monkeypatch.setattr(near, "SENT", most)
+        before = set(at.glob("*")) if at.exists() else set()
+        kept = {x.doc_id for x in near.drop_near_copies(docs.repartition(4)).collect()}
+        assert kept == plain_near(data) and len(kept) < 60
+        assert {p.name.rsplit("-", 1)[0] for p in set(at.glob("*")) - before} == {"gone"}
+    assert "s" not in near._WHOLE.names
+
+
+def test_long_texts_that_share_nothing_are_refuted_by_their_bins():
+    r = np.random.default_rng(6)
+    for n in (300, 3000, 30_000):
+        a, b = (np.unique(r.integers(0, 1 << 64, n, np.uint64)) for _ in range(2))
+        c = np.unique(np.concatenate([a[: int(0.95 * n)], b[: n // 50]]))
+        assert not near._bins_allow(near._binned(a), near._binned(b), 0.8)
+        assert near.similarity(a, c) >= 0.8 and near._bins_allow(near._binned(a), near._binned(c), 0.8)
+    some = np.unique(r.integers(0, 1 << 64, 2300, np.uint64))  # of two sizes, and so of two numbers of bins
+    assert near._bins_allow(near._binned(some), near._binned(some[:2000]), 0.8)
+
+
 def test_shards_give_a_follower_few_pairs():
     """A hot shard is no all-pairs table, and each of its rows is led by one within the radius."""
     r = np.random.default_rng(2)

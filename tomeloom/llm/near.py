@@ -17,23 +17,30 @@ Blocks and radii leave out some pairs, so what that search leaves is searched ag
 rule.  In any one order of all shingles, two texts that share ``least`` of theirs share one of
 the first n - ceil(least n) + 1 of each (n is a text's number of shingles).  So texts meet by
 the shingles of their prefixes, sizes and places in the order rule pairs out, and whole texts
-decide.  The order puts shingles that many texts of a block have last; it decides how much
-meets for nothing, never what is found.
+decide.  The order puts the shingles first that few texts have, by counts of all texts' shingles in
+SLOTS slots; it decides how much meets for nothing, never what is found.
+
+Texts are not stored again as shingles, which take several times their room: a step that needs
+whole texts makes their shingles anew.  What tasks need to know of some documents (which are
+gone, which are asked about) is sent to them as numbers, so texts stay where they are.
 """
 
 from __future__ import annotations
 
+import gc
 import math
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeloom.llm.arrow import ROWS, Sink, release, released, rows_of
 from tomeloom.llm.simhash import BKTree, shingle_hashes
-from tomeloom.llm.store import small_join, written
+from tomeloom.llm.store import written
+from tomeloom.sources.tables import scratch
 
 SHINGLE, LEAST = 5, 0.8
 WORDS = 6
@@ -51,12 +58,13 @@ BLOCK, BLOCK_SHINGLES, OUT = 8192, 4_000_000, 1 << 15
 PATIENCE = 8
 #: Members up to which a shard is screened for neighbours before it has a tree.
 SCREEN = 512
-#: Texts of a block from which a shingle they share counts as frequent, and frequent ones that are ordered last.
-FREQUENT, FREQUENT_KEPT = 16, 50_000
-#: Documents that the first search finds, up to which they are sent to all tasks.
-SENT = 200_000
-#: Bins in which shingles are counted, up to 255.
-BINS = 256
+#: Bits of a shingle's slot (its first ones); a slot counts the shingles of all texts that fall into it.
+SLOT_BITS = 21
+SLOTS = 1 << SLOT_BITS
+#: Documents up to which their names, 16 bytes each, are sent to all tasks.
+SENT = 4_000_000
+#: Bins in which a text's shingles are counted, up to 255 each: so many, and more for texts of over BIN_LOAD times as many.
+BINS, BIN_LOAD = 256, 8
 _CHUNK = 255 * 16
 _random = np.random.default_rng(42)
 _MASKS = _random.integers(0, 1 << 64, WORDS, np.uint64)
@@ -107,9 +115,9 @@ def block_plan(documents: int, least: float = LEAST, recall: float = RECALL) ->
 
 _FINGER = [f"f{w}" for w in range(WORDS)]
 _PRINTS = pa.schema([(c, pa.int64()) for c in ("i", "h", "n", *_FINGER)])
-#: With the sorted shingles and how many stand in each of BINS bins; a block's first document has the block's frequent ones, and in how many texts each is.
-_WHOLE = pa.schema([*_PRINTS, ("s", pa.binary()), ("b", pa.binary()), ("frequent", pa.binary())])
-_FREQUENT = pa.schema([("g", pa.int64()), ("c", pa.int64())])
+#: With how many shingles stand in each bin; a task's last row is no document (n = -1) and has how many stand in each slot.
+_WHOLE = pa.schema([*_PRINTS, ("b", pa.binary()), ("seen", pa.binary())])
+_SEEN = pa.schema([("seen", pa.binary())])
 _PLACES = pa.schema([(c, pa.int64()) for c in ("g", "i", "h", "x")])
 _ROWS = pa.schema([(c, pa.int64()) for c in ("key", "i", "h", "n", *_FINGER)])
 _PAIRS = pa.schema([(c, pa.int64()) for c in ("i", "h", "li", "lh")])
@@ -211,15 +219,46 @@ def _given(columns: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, c])) for c in range(len(schema))], schema=schema)
 
 
-def _common(sets: list[np.ndarray]) -> bytes:
-    """Shingles that many of the sets have, each with their number."""
-    found, count = np.unique(np.concatenate(sets), return_counts=True)
-    often = count >= FREQUENT
-    return np.stack([found[often].view(np.int64), count[often]], axis=1).tobytes()
+def _binned(found: np.ndarray) -> bytes:
+    bins = BINS
+    while bins * BIN_LOAD < len(found):
+        bins *= 2
+    return np.minimum(np.bincount((found % np.uint64(bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
 
 
-def _binned(found: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((found % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+def _bins_allow(a: bytes, b: bytes, least: float) -> bool:
+    """Whether sets of these bins may be similar: they differ in as many shingles at least as their bins do."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if max(x.max(), y.max()) == 255:
+        return True
+    bins = min(len(x), len(y))
+    x, y = x.reshape(-1, bins).sum(axis=0, dtype=np.int64), y.reshape(-1, bins).sum(axis=0, dtype=np.int64)
+    return np.abs(x - y).sum() <= (1 - least) / (1 + least) * (x.sum() + y.sum() + 1e-3)
+
+
+def _slots(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _packed(seen: np.ndarray) -> bytes:
+    return zlib.compress(seen.astype(np.uint32).tobytes(), 1)
+
+
+def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All counts by slot as one."""
+    total = np.zeros(SLOTS, np.uint64)
+    for (seen,) in rows_of(batches, 1):
+        total += np.frombuffer(zlib.decompress(seen), np.uint32)
+    yield pa.RecordBatch.from_arrays([pa.array([_packed(np.minimum(total, 0xFFFFFFFF))], pa.binary())], schema=_SEEN)
+
+
+def slot_ranks(seen: DataFrame) -> np.ndarray:
+    """The rank (0 to 255) of each slot, in steps of an eighth of a doubling, from its counts in rows (seen)."""
+    few = seen.coalesce(8).mapInArrow(released(_added), _ddl(_SEEN))
+    total = np.zeros(SLOTS, np.uint64)
+    for (row,) in few.repartition(1).mapInArrow(released(_added), _ddl(_SEEN)).collect():
+        total += np.frombuffer(zlib.decompress(bytes(row)), np.uint32)
+    return np.minimum(8 * np.log2(1.0 + total), 255).astype(np.uint8)
 
 
 def _stacked(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -242,7 +281,7 @@ def _shard_rows(prints: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray,
 
 
 def _printed(size: int, least: float, bits: int, tables: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(i, h, t) to fingerprints and shingles; n = 0 for copies of another document of the block."""
+    """(i, h, t) to fingerprints and counts of shingles; n = 0 for copies of another document of the block."""
 
     def block(nodes: list[tuple[int, int]], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         prints = np.zeros((len(nodes), 3 + WORDS), np.int64)
@@ -255,24 +294,29 @@ def _printed(size: int, least: float, bits: int, tables: int) -> Callable[[Itera
         rows, document = _shard_rows(prints, bits, tables)
         prints[list(_own_copies(rows, document, sets, least)), 2] = 0
         del rows, document
-        common = _common(sets)
         for a in range(0, len(prints), ROWS):
             b = min(a + ROWS, len(prints))
-            whole = [pa.array([x.tobytes() for x in sets[a:b]], pa.binary()), pa.array([_binned(x) for x in sets[a:b]], pa.binary()), pa.array([common if x == 0 else None for x in range(a, b)], pa.binary())]
+            whole = [pa.array([_binned(x) for x in sets[a:b]], pa.binary()), pa.nulls(b - a, pa.binary())]
             yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in prints[a:b].T], *whole], schema=_WHOLE)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, sets, held = [], [], 0
+        seen = np.zeros(SLOTS, np.int64)
         for i, h, text in rows_of(batches):
             nodes.append((i, h))
             sets.append(shingles(text, size))
             held += len(sets[-1])
             if len(nodes) >= BLOCK or held >= BLOCK_SHINGLES:
+                seen += np.bincount(_slots(np.concatenate(sets)), minlength=SLOTS)
                 yield from block(nodes, sets)
                 nodes, sets, held = [], [], 0
                 release()
         if nodes:
+            seen += np.bincount(_slots(np.concatenate(sets)), minlength=SLOTS)
             yield from block(nodes, sets)
+        if seen.any():
+            last = [*[0, 0, -1], *[0] * WORDS, None, _packed(seen)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, _WHOLE.types, strict=True)], schema=_WHOLE)
 
     return run
 
@@ -327,11 +371,6 @@ def candidates(prints: DataFrame, radius: int, bits: int, tables: int, least: fl
     return rows.mapInArrow(released(_across_blocks(radius, least)), _ddl(_PAIRS)).distinct()
 
 
-def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (found,) in rows_of(batches):
-        yield from _given(np.frombuffer(found, np.int64).reshape(-1, 2), _FREQUENT)
-
-
 def _prefix(found: np.ndarray, least: float, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first shingles of a text's sorted ones, of which one at least is among the first of any
     similar text's: by value, but those of ``last`` (sorted) behind all others, by their rank."""
@@ -340,17 +379,17 @@ def _prefix(found: np.ndarray, least: float, last: np.ndarray, rank: np.ndarray)
         return found[:most]
     at = np.minimum(np.searchsorted(last, found), len(last) - 1)
     behind = last[at] == found
-    return np.concatenate([found[~behind][:most], found[behind][np.argsort(rank[at[behind]])]])[:most]
+    return np.concatenate([found[~behind][:most], found[behind][np.argsort(rank[at[behind]], kind="stable")]])[:most]
 
 
-def _placed(least: float, last: np.ndarray, rank: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (i, h, open, s) to the prefix's shingles with (size, place, open) as one number."""
+def _placed(size: int, least: float, ranks: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (i, h, open, t) to the prefix's shingles with (size, place, open) as one number; ranks: of the slots."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, held = [], 0
-        for i, h, open_, found in rows_of(batches):
-            found = np.frombuffer(found, np.uint64)
-            first = _prefix(found, least, last, rank)
+        for i, h, open_, text in rows_of(batches):
+            found = shingles(text, size)
+            first = _prefix(found, least, found, ranks[_slots(found)])
             rows = np.empty((len(first), 4), np.int64)
             rows[:, 0], rows[:, 1], rows[:, 2] = first.view(np.int64), i, h
             rows[:, 3] = (len(found) << 32) | (np.arange(len(first)) << 1) | open_
@@ -410,62 +449,88 @@ def _met(least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def all_candidates(sets: DataFrame, frequent: DataFrame, least: float = LEAST) -> DataFrame:
+def all_candidates(texts: DataFrame, ranks: np.ndarray, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """(i, h, li, lh): all pairs of an open document and a smaller one that may be similar, of
-    documents (i, h, open, s: sorted shingles); frequent (g, c): shingles and in how many texts."""
-    often = frequent.groupBy("g").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "g").limit(FREQUENT_KEPT).toPandas()
-    last = often["g"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(last)
-    rank = np.arange(len(last), 0, -1)[order]  # the most frequent come last of all
-    rows = sets.select("i", "h", "open", "s").mapInArrow(released(_placed(least, last[order], rank)), _ddl(_PLACES))
+    documents (i, h, open, t: text); ranks: of the slots, the shingles of lower ones come first."""
+    rows = texts.select("i", "h", "open", "t").mapInArrow(released(_placed(size, least, ranks)), _ddl(_PLACES))
     return rows.repartition("g").sortWithinPartitions("g", "i", "h").mapInArrow(released(_met(least)), _ddl(_PAIRS)).distinct()
 
 
-def _alike(test: Callable[[bytes, bytes], bool]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _alike(test: Callable, made: Callable = lambda what: what) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From (li, lh, salt, member, i, h, what) sorted so that a leader stands before its members:
-    the pairs (member, leader) that pass the test."""
+    the pairs (member, leader) that pass the test of what is made of both."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sink, lead = Sink(_PAIRS), b""
+        sink, lead = Sink(_PAIRS), None
         for li, lh, _, member, i, h, what in rows_of(batches, 64):
             if not member:
-                lead = what
-            elif test(lead, what):
+                lead = made(what)
+            elif test(lead, made(what)):
                 yield from sink.add((i, h, li, lh))
         yield from sink.end()
 
     return run
 
 
-def _passing(pairs: DataFrame, what: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """The pairs that pass a test of what (i, h, what) has of both documents."""
+def _passing(pairs: DataFrame, what: DataFrame, test: Callable, made: Callable = lambda what: what) -> DataFrame:
+    """The pairs that pass a test of what is made of both documents' what (i, h, what)."""
     pairs = pairs.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)))
     members = pairs.join(what, ["i", "h"]).select("li", "lh", "salt", F.lit(1).alias("member"), "i", "h", "what")
     leads = pairs.select("li", "lh", "salt").distinct().join(what.withColumnsRenamed({"i": "li", "h": "lh"}), ["li", "lh"])
     leads = leads.select("li", "lh", "salt", F.lit(0).alias("member"), F.col("li").alias("i"), F.col("lh").alias("h"), "what")
     dealt = members.unionByName(leads).repartition("li", "lh", "salt").sortWithinPartitions("li", "lh", "salt", "member")
-    return dealt.mapInArrow(released(_alike(test)), _ddl(_PAIRS)).distinct()
+    return dealt.mapInArrow(released(_alike(test, made)), _ddl(_PAIRS)).distinct()
 
 
-def _similar(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
-    """(i, h) of the pairs' documents that are similar to what they follow.
+def _named(i: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """One number of a document; with i it tells h."""
+    return h.view(np.uint64) + i.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    Sets differ in as many shingles at least as their counts by bins do, so most pairs are
-    refuted by these, and whole sets are sent for the rest.
+
+def among(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """rows (i, h, ...) with ``among``: whether they are of these documents (i, h).
+
+    Up to SENT documents are sent to all tasks, and rows stay where they are; more are joined.
     """
-    most = (1 - least) / (1 + least)
+    documents = documents.select("i", "h").distinct()
+    if documents.limit(SENT + 1).count() <= SENT:
+        sent = documents.toArrow()
+        i, h = (sent.column(c).to_numpy() for c in ("i", "h"))
+        names = _named(i, h)
+        order = np.argsort(names)
+        names, i = names[order], i[order]
+        if (names[1:] != names[:-1]).all():
+
+            @F.arrow_udf("boolean")
+            def is_among(a: pa.Array, b: pa.Array) -> pa.Array:
+                if not len(names):
+                    return pa.array(np.zeros(len(a), bool))
+                a, b = (np.ascontiguousarray(x.to_numpy(zero_copy_only=False)) for x in (a, b))
+                asked = _named(a, b)
+                at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+                return pa.array((names[at] == asked) & (i[at] == a))
+
+            return rows.withColumn("among", is_among("i", "h"))
+    return rows.join(documents.withColumn("among", F.lit(True)), ["i", "h"], "left").withColumn("among", F.coalesce("among", F.lit(False)))
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """(i, h) of the pairs' documents that are similar to what they follow.
 
-    def by_bins(a: bytes, b: bytes) -> bool:
-        x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
-        return np.abs(x - y).sum() <= most * (x.sum() + y.sum() + 1e-3) or max(x.max(), y.max()) == 255
+    Most pairs are refuted by their counts by bins, and texts (i, h, t) are sent for the rest.
+    """
+    pairs = written(_passing(pairs, prints.filter("n >= 0").select("i", "h", F.col("b").alias("what")), lambda a, b: _bins_allow(a, b, least)), "by-bins")
+    named = pairs.select("i", "h").unionByName(pairs.select(F.col("li").alias("i"), F.col("lh").alias("h")))
+    whole = written(among(texts, named).filter("among").select("i", "h", F.col("t").alias("what")), "texts")
+    found = written(_passing(pairs, whole, lambda a, b: similarity(a, b) >= least, lambda text: shingles(text, size)).select("i", "h").distinct(), "similar")
+    _forget(pairs.sparkSession)
+    return found
 
-    def by_sets(a: bytes, b: bytes) -> bool:
-        return similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least
 
-    pairs = written(_passing(pairs, prints.select("i", "h", F.col("b").alias("what")), by_bins), "by-bins")
-    named = pairs.select("i", "h").unionByName(pairs.select(F.col("li").alias("i"), F.col("lh").alias("h"))).distinct()
-    sets = small_join(prints.select("i", "h", F.col("s").alias("what")), written(named, "named"), ["i", "h"], "left_semi", salts=1)
-    return written(_passing(pairs, sets, by_sets).select("i", "h").distinct(), "similar")
+def _forget(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of what nothing refers to once the driver has collected it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _node(ident: Column, text: Column) -> list[Column]:
@@ -484,17 +549,19 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEA
       digest; rows with one id and different texts are different documents;
     * an empty table gives none; other columns, whatever their names, are unread.
     """
-    node = _node(F.col(id_col), F.col(text_col))
+    spark, node = docs.sparkSession, _node(F.col(id_col), F.col(text_col))
     bits, tables = block_plan(docs.count(), least)
-    base = docs.select(*node, F.col(text_col).alias("t")).mapInArrow(released(_printed(shingle, least, bits, tables)), _ddl(_WHOLE))
-    prints = written(base, "wide-fingerprints")
-    pairs = written(candidates(prints.filter("n > 0"), RADII[0], bits, tables, least), "candidates")
-    found = _similar(pairs, prints, least)
-    # what that search left out: all the rest, by an exact rule
-    sets = small_join(prints, found.withColumn("gone", F.lit(1)), ["i", "h"], "left", salts=1, most=SENT)
-    sets = sets.select("i", "h", F.when((F.col("n") > 0) & F.col("gone").isNull(), 1).otherwise(0).cast("long").alias("open"), "s")
-    frequent = prints.filter("frequent is not null").select("frequent").mapInArrow(released(_frequent), _ddl(_FREQUENT))
-    pairs = written(all_candidates(sets, frequent, least), "all-candidates")
-    gone = prints.filter("n = 0").select("i", "h").unionByName(found).unionByName(_similar(pairs, prints, least))
-    out = small_join(docs.select(F.struct("*").alias("doc"), *node), written(gone.distinct(), "gone"), ["i", "h"], "left_anti", salts=1)
-    return out.select("doc.*")
+    texts = docs.select(*node, F.col(text_col).alias("t"))
+    with scratch("gone"):
+        prints = written(texts.mapInArrow(released(_printed(shingle, least, bits, tables)), _ddl(_WHOLE)), "wide-fingerprints")
+        pairs = written(candidates(prints.filter("n > 0"), RADII[0], bits, tables, least), "candidates")
+        _forget(spark)
+        found = _similar(pairs, prints, texts, shingle, least)
+        # what that search left out: all the rest, by an exact rule
+        gone = prints.filter("n = 0").select("i", "h").unionByName(found)
+        placed = among(texts, gone).select("i", "h", F.when(F.col("among"), 0).otherwise(1).cast("long").alias("open"), "t")
+        ranks = slot_ranks(prints.filter("seen is not null").select("seen"))
+        pairs = written(all_candidates(placed, ranks, shingle, least), "all-candidates")
+        _forget(spark)
+        gone = written(gone.unionByName(_similar(pairs, prints, texts, shingle, least)).distinct(), "gone")
+    return among(docs.select(F.struct("*").alias("doc"), *node), gone).filter(~F.col("among")).select("doc.*")
