@@ -302,3 +302,26 @@ def test_many_pages_are_laid_out_without_a_group_each(spark):
     assert {(r.book_key, r.page, r.idx, r.text) for r in out.collect()} == want
     flat = pd.DataFrame([(0, "word", [10.0, 0.0, 0.0, 10.0, 5.0, 5.0], None)], columns=["item_no", "str", "transform", "width"])
     assert layout.page_paragraphs(flat, np.array([1, 0, 0, -1, 0, 800.0]))["text"].to_list() == ["word"]  # no width
+
+
+def test_pages_of_items_hold_all_words_of_their_documents(spark, tmp_path):
+    from tomeloom.plans import seeds as plans
+
+    texts = {1: "\n".join(" ".join(f"w{i}x{k}" for k in range(3 + i % 30)) for i in range(40)), 2: " ".join(f"one{k}" for k in range(250))}
+    spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {i: [] for i in texts}
+    for r in plans.paragraphs_of_items(spark, str(tmp_path)).collect():
+        found[r.page] += r.text.split()
+    assert {i: sorted(w) for i, w in found.items()} == {i: sorted(t.split()) for i, t in texts.items()}
+
+
+def test_neighbours_against_plain():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 30, 700):
+        left, top = r.integers(0, 400, n).astype(float), r.integers(0, 60, n) * r.choice([0.4, 1.0, 7.0])
+        right = left + r.integers(0, 60, n)
+        got = layout._neighbours(left, right, top)
+        for sign in (1, -1):
+            for a in range(n):
+                beside = [b for b in range(n) if min(right[a], right[b]) > max(left[a], left[b]) and sign * (top[b] - top[a]) > 1]
+                assert got[sign][a] == min(beside, key=lambda b: (sign * top[b], b), default=-1)
