@@ -265,3 +265,108 @@ def test_prompts_are_put_together_where_their_texts_are(spark):
     assert got == {1: f"Use these translations:\ndog\ncat = chat\ncat = chatte\nthe = le\n\n{ask}The Cat, and the dog", 2: f"{ask}nothing", 3: None, 4: f"Use these translations:\ncat = chat\ncat = chatte\n\n{ask}Dogs and cat"}
     many = terms.unionByName(spark.range(glossary.LISTED).selectExpr("concat('w', id) AS term", "'x' AS translation", "9 AS seq"))
     assert {r["text_id"]: r["prompt"] for r in glossary.build_prompts(texts, many, "French").collect()} == got
+
+
+def test_streamed_counts_come_in_three_batches_that_keep_all_cores_busy(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from tomeloom.plans import incremental as plans
+    from tomeloom.streaming import incremental
+
+    spark.createDataFrame([(i, "Red wolves run.", "en", "a", 15) for i in range(100)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = {}
+
+    def stream_pages(spark, path, files=1):
+        asked.update(files=files, there=len(list(Path(path.removeprefix("file://")).glob("part-*"))))
+
+    def run_to_end(frame, checkpoint, each, mode):
+        each(spark.createDataFrame([("a", "run", 1, 2, 1), ("a", "red", 1, 3, 1)], "book_key string, key string, n int, freq long, non_init long"), 0)
+
+    monkeypatch.setattr(incremental, "stream_pages", stream_pages)
+    monkeypatch.setattr(incremental, "stream_ngram_counts", lambda pages, func: None)
+    monkeypatch.setattr(incremental, "run_to_end", run_to_end)
+    out = plans.stream_term_counts(spark, str(tmp_path))
+    cores = spark.sparkContext.defaultParallelism
+    assert asked["files"] >= cores and asked["there"] == 3 * asked["files"]
+    assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.key for r in out.collect()] == ["red"]
+
+
+def test_many_pages_are_laid_out_without_a_group_each(spark):
+    rows = [(f"b{k % 3}", k, *p) for k in range(200) for p in items([(f"Page {k} has a line with a well-", 50, 700), ("known word.", 50, 688), ("", 50, 676)])]
+    rows = spark.createDataFrame(rows + [("none", 1, *items([("lost", 1, 1)])[0])], "book_key string, page int, item_no int, str string, transform array<double>, width double")
+    views = spark.createDataFrame([(f"b{k % 3}", k, [1.0, 0.0, 0.0, -1.0, 0.0, 800.0]) for k in range(200)], "book_key string, page int, view array<double>")
+    out = layout.cluster_paragraphs(rows.repartition(5), views, spark.createDataFrame([("b1", "well-known")], "book_key string, word string"))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {(f"b{k % 3}", k, 0, f"Page {k} has a line with a {'well-known' if k % 3 == 1 else 'wellknown'} word.") for k in range(200)}
+    assert {(r.book_key, r.page, r.idx, r.text) for r in out.collect()} == want
+    flat = pd.DataFrame([(0, "word", [10.0, 0.0, 0.0, 10.0, 5.0, 5.0], None)], columns=["item_no", "str", "transform", "width"])
+    assert layout.page_paragraphs(flat, np.array([1, 0, 0, -1, 0, 800.0]))["text"].to_list() == ["word"]  # no width
+
+
+def test_pages_of_items_hold_all_words_of_their_documents(spark, tmp_path):
+    from tomeloom.plans import seeds as plans
+
+    texts = {1: "\n".join(" ".join(f"w{i}x{k}" for k in range(3 + i % 30)) for i in range(40)), 2: " ".join(f"one{k}" for k in range(250))}
+    spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {i: [] for i in texts}
+    for r in plans.paragraphs_of_items(spark, str(tmp_path)).collect():
+        found[r.page] += r.text.split()
+    assert {i: sorted(w) for i, w in found.items()} == {i: sorted(t.split()) for i, t in texts.items()}
+
+
+def test_neighbours_against_plain():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 30, 700):
+        left, top = r.integers(0, 400, n).astype(float), r.integers(0, 60, n) * r.choice([0.4, 1.0, 7.0])
+        right = left + r.integers(0, 60, n)
+        got = layout._neighbours(left, right, top)
+        for sign in (1, -1):
+            for a in range(n):
+                beside = [b for b in range(n) if min(right[a], right[b]) > max(left[a], left[b]) and sign * (top[b] - top[a]) > 1]
+                assert got[sign][a] == min(beside, key=lambda b: (sign * top[b], b), default=-1)
+
+
+def test_samples_against_plain_and_without_dealing_out_ngrams(spark, monkeypatch):
+    """The first prose sentence of a key, else its first; only what is asked about leaves its task."""
+    short, prose = "Red wolves run.", "Here the red wolves run over the hills and far away again."
+    texts = {1: f"{short} {prose} Late red wolves.", 2: f"{short} {short}", 3: f"Nothing. {prose.replace('Here', 'There')}", 4: "word " * 3000 + "grey owls."}
+    pages = spark.createDataFrame([("a" if p < 4 else "b", p, t) for p, t in texts.items()], "book_key string, page long, text string").repartition(3)
+    only = spark.createDataFrame([("a", "red wolves"), ("a", "nothing"), ("b", "grey owls"), ("b", "red wolves")], "book_key string, key string")
+    plans, keep = [], mining.written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(mining, "written", written)
+    found = {(r.book_key, r.key): r["sample"] for r in mining.samples(pages, (), only).collect()}
+    assert found == {("a", "red wolves"): prose, ("a", "nothing"): "Nothing.", ("b", "grey owls"): texts[4].strip()}
+    assert "BroadcastHashJoin" in plans[0] and "SortAggregate" not in plans[0]
+    monkeypatch.setattr(mining, "SENT", 1)
+    assert {(r.book_key, r.key): r["sample"] for r in mining.samples(pages, (), only).collect()} == found
+
+
+def test_streamed_counts_add_up_without_a_state(spark, tmp_path):
+    from pathlib import Path
+
+    from tomeloom.plans import incremental as plans
+    from tomeloom.sources.tables import shared_dir
+
+    texts = [f"Red wolves run. Grey owls {'sleep' if i % 5 else 'wake'}, red wolves {i}." for i in range(60)]
+    spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    at = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(at.glob("stream-*"))
+    got = {tuple(r) for r in plans.stream_term_counts(spark, str(tmp_path)).collect()}
+    want = mining.gram_counts(plans.table(spark, str(tmp_path), "documents").selectExpr("source book_key", "doc_id page", "text"), plans.STOP.func, 3)
+    assert got == {tuple(r) for r in want.select("book_key", "key", "n", "freq", "non_init").collect()} and len(got) > 10
+    (own,) = set(at.glob("stream-*")) - before
+    assert not (own / "checkpoint" / "state").exists() and len(list((own / "checkpoint" / "commits").glob("[0-9]*"))) == 3
+
+
+def test_a_long_clause_is_not_copied_for_each_of_its_tokens(spark):
+    text = " ".join(f"word{chr(97 + i % 26)}" for i in range(2000))
+    found = mining.grams(spark.createDataFrame([("a", 1, text)], "book_key string, page long, text string"), ())
+    assert found.count() == sum(2000 - n for n in range(4))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("low" not in line for line in plan.splitlines() if "posexplode" in line.lower() and "arrays_zip" not in line.lower()) and "arrays_zip" in plan

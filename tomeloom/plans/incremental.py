@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeloom.plans.corpus import table
@@ -30,14 +33,15 @@ def stream_term_counts(spark, sf_dir):
     files = max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
     docs.repartition(3 * files).write.parquet(f"{base}/in")
     counts = incremental.stream_ngram_counts(incremental.stream_pages(spark, f"{base}/in", files=files), STOP.func)
-    last = []
+    sums = {}
 
     def keep(batch, number):
-        # a batch has all counts up to it; most n-grams stay below the floor and need not be written
-        last[:] = [written(batch.filter("freq >= 3"), f"batch-{number}")]
+        # a batch that is run again takes the place of its first run
+        sums[number] = written(incremental.summed_counts(batch), f"batch-{number}")
 
-    incremental.run_to_end(counts, f"{base}/checkpoint", keep, mode="complete")
-    return last[0].select("book_key", "key", "n", "freq", "non_init")
+    incremental.run_to_end(counts, f"{base}/checkpoint", keep, mode="append")
+    all_sums = reduce(DataFrame.unionByName, sums.values())
+    return written(incremental.summed_counts(all_sums).filter("freq >= 3"), "counts").select("book_key", "key", "n", "freq", "non_init")
 
 
 QUERIES = {"ndjson_fold": ndjson_fold, "stream_term_counts": stream_term_counts}
